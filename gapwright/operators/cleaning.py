@@ -97,13 +97,13 @@ def _outside(c: str) -> Column:
     return (F.col(c) < lo) | (F.col(c) > hi)
 
 
-def coverage(samples: DataFrame) -> DataFrame:
-    """(well, log, coverage_pct): share of measured samples, one decimal."""
+def coverage(samples: DataFrame, digits: int = 1) -> DataFrame:
+    """(well, log, coverage_pct): share of measured samples in percent."""
     agg = samples.groupBy("well").agg(
         F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in COLS])
     return agg.select("well", F.inline(F.array(*[
         F.struct(F.lit(c.upper()).alias("log"),
-                 F.round(F.col(c) / F.col("n") * 100.0, 1).alias("coverage_pct")) for c in COLS])))
+                 F.round(F.col(c) / F.col("n") * 100.0, digits).alias("coverage_pct")) for c in COLS])))
 
 
 def complete(*cols: str) -> Column:
