@@ -167,7 +167,7 @@ def predict(masked: DataFrame, fits: DataFrame, methods: Sequence[str], keys: Se
                 "mice": lambda: chain[c],
             }[m]()
             cols.append(p.alias(f"p_{m}_{c}"))
-    keep = [c for c in masked.columns if not c.startswith("x_")]
+    keep = [c for c in masked.columns if not c.startswith("x_")] + [c for c in ("config",) if c in fits.columns]
     return df.select(*keep, *cols)
 
 

@@ -211,7 +211,7 @@ def shuffled(windows: DataFrame, seed: int, salt: int, name: str = "pos", bucket
     Windows are bucketed by their draw, so numbering runs in ``buckets`` balanced tasks.
     """
     df = windows.withColumn("wkey", well_key(windows))
-    df = df.withColumn("_u", F.expr(uniform_sql("wkey", "start", f"{int(seed)} * 1000 + {salt}")))
+    df = df.withColumn("_u", F.expr(uniform_sql("wkey", "start", f"{int(seed) * 1000 + salt}L")))
     df = df.withColumn("_slab", F.floor(F.col("_u") * buckets))
     out = ordinal(df, [], "_slab", ["_u", "well", "start"], name)
     total = windows.agg(F.count(F.lit(1)).alias("n_all"))
@@ -268,7 +268,7 @@ def subsample(windows: DataFrame, n: int | Column, seed: int) -> DataFrame:
 def interval_catalogue(iv: DataFrame, buckets: int = ORDER_BUCKETS) -> DataFrame:
     """Observed (absent set, length) pairs under a dense ordinal, for indexed draws."""
     df = iv.select("well", "start", "code", "length").withColumn("wkey", well_key(iv))
-    df = df.withColumn("_slab", F.floor(F.expr(uniform_sql("wkey", "start", "77")) * buckets))
+    df = df.withColumn("_slab", F.floor(F.expr(uniform_sql("wkey", "start", "77L")) * buckets))
     return ordinal(df, [], "_slab", ["_slab", "well", "start"], "iv_ord").select("iv_ord", "code", "length")
 
 
@@ -283,7 +283,7 @@ def empirical_masks(segments: DataFrame, catalogue: DataFrame, reps: int = 5, ma
     seg = segments.select("well", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"),
                           well_key(segments).alias("wkey"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     seg = _with_scalar(seg, total)
-    draw = lambda k: uniform_sql("wkey", "seg_start", f"{int(mask_seed)} * 1000 + {base} + 2 * rep + {k}")
+    draw = lambda k: uniform_sql("wkey", "seg_start", f"{int(mask_seed) * 1000 + base + k}L + 2 * rep")
     seg = seg.withColumn("iv_ord", F.expr(f"CAST(floor({draw(0)} * n_iv) AS BIGINT)")).withColumn("_place", F.expr(draw(1)))
     hit = seg.join(catalogue, "iv_ord")
     n = F.col("seg_end") - F.col("seg_start")

@@ -15,6 +15,11 @@ def _err() -> Column:
     return F.col("pred") - F.col("truth")
 
 
+def safe_corr(x: str, y: str) -> Column:
+    """Pearson correlation; NULL instead of a division error when a side has no spread."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def metric_columns() -> list[Column]:
     """mae, rmse, r2, cc, n of a group of (pred, truth) rows.
 
@@ -22,12 +27,12 @@ def metric_columns() -> list[Column]:
     the correlation is NULL below two points or without spread.
     """
     sst = F.var_pop("truth") * F.count("truth")
-    spread = (F.stddev_pop("pred") > 0) & (F.stddev_pop("truth") > 0) & (F.count("truth") > 1)
+    spread = (F.stddev_pop("pred") > 1e-12) & (F.stddev_pop("truth") > 0) & (F.count("truth") > 1)
     return [
         F.avg(F.abs(_err())).alias("mae"),
         F.sqrt(F.avg(_err() * _err())).alias("rmse"),
         F.when(sst > 0, 1 - F.sum(_err() * _err()) / sst).alias("r2"),
-        F.when(spread, F.corr("pred", "truth")).alias("cc"),
+        F.when(spread, safe_corr("pred", "truth")).alias("cc"),
         F.count("truth").alias("n"),
     ]
 

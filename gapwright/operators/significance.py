@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ALPHA
 from ..functions.distributions import chi2_sf, column, range_sf, t_ppf, t_sf2, wilcoxon_p
+from .metrics import safe_corr
 from ..functions.ranks import average_rank, exact_percentiles, rank_table
 
 
@@ -168,7 +169,7 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, p_values: bool
     """Spearman correlation of two columns per group."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     r = average_rank(average_rank(both, keys, a, "_ra"), keys, b, "_rb")
-    out = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"))
+    out = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), safe_corr("_ra", "_rb").alias("rho"))
     if not p_values:
         return out
     rho, dof = F.col("rho"), F.col("n") - 2

@@ -18,6 +18,7 @@ from ..operators import scaling as sc
 from ..operators import significance as sg
 from ..operators import spatial as sp
 from ..operators import windows as wn
+from ..session import cut_lineage
 from ..sources import tables as tb
 from . import empirical as em
 from . import leakage as lk
@@ -43,22 +44,29 @@ def rnd(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def _suff(spark: SparkSession, d: str, seeds=SEEDS, methods=METHODS, init_seeds=None) -> DataFrame:
-    return evaluate_stats(tb.well_samples(spark, d), methods, mask_seeds=seeds, init_seeds=init_seeds)
+    """Per-well statistics of the evaluation, stored once: every table below reads them repeatedly."""
+    return cut_lineage(evaluate_stats(tb.well_samples(spark, d), methods, mask_seeds=seeds, init_seeds=init_seeds))
+
+
+def _by_log(df: DataFrame, *cols: str) -> DataFrame:
+    """Round sums to the precision of their channel."""
+    return df.select(*[F.when(F.col("log") == "GR", F.round(c, 3)).otherwise(F.round(c, 6)).alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
 
 
 def _errors(spark: SparkSession, d: str) -> DataFrame:
     """Seed-averaged per-well error, rounded as in the published tables."""
     s = tb.well_samples(spark, d)
     sigma = mt.scaler_sigma(sc.fold_scaler(s))
-    return sg.seed_average(mt.nrmse_per_well(_suff(spark, d), sigma)).withColumn("nrmse", F.round("nrmse", 6))
+    return cut_lineage(sg.seed_average(mt.nrmse_per_well(_suff(spark, d), sigma)).withColumn("nrmse", F.round("nrmse", 6)))
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
     """Per-fold metrics with the R2 over all logs as ``r2``."""
     s = tb.well_samples(spark, d)
     per = rp.all_log_r2(_suff(spark, d), [*mt.CELL, "well"])
-    return per.join(wn.folds(wn.intact_windows(s)).select(F.col("test_well").alias("well"), F.col("fold_id").alias("fold")), "well").select(
-        F.col("mask_seed").alias("seed"), "method", "scenario", "fold", "log", F.round("r2", 6).alias("r2"))
+    return cut_lineage(per.join(wn.folds(wn.intact_windows(s)).select(F.col("test_well").alias("well"), F.col("fold_id").alias("fold")), "well").select(
+        F.col("mask_seed").alias("seed"), "method", "scenario", "fold", "log", F.round("r2", 6).alias("r2")))
 
 
 # --- cleaning and QC -----------------------------------------------------------------------
@@ -265,7 +273,7 @@ def overlap_avg(spark, d):
 @query
 def empirical_blackout(spark, d):
     pts = em.evaluate_empirical(tb.well_samples(spark, d), ("locf", "locf_win", "interp_linear"), 2)
-    return rnd(mt.sufficient_stats(pts, ["method", "log", "well"]).select("method", "log", "well", "n", "sse", "sae"), sse=3, sae=3)
+    return _by_log(mt.sufficient_stats(pts, ["method", "log", "well"]).select("method", "log", "well", "n", "sse", "sae"), "sse", "sae")
 
 
 # --- metrics ----------------------------------------------------------------------------------------------
@@ -290,7 +298,7 @@ def pooled_vs_foldmean(spark, d):
 
 @query
 def suff_stats(spark, d):
-    return rnd(_suff(spark, d), sum_y=3, sum_y2=3, sse=3, sae=3)
+    return _by_log(_suff(spark, d), "sum_y", "sum_y2", "sse", "sae")
 
 
 @query
@@ -345,7 +353,7 @@ def seed_ci(spark, d):
 
 @query
 def fold_spread(spark, d):
-    return rnd(rp.fold_spread(_raw(spark, d).where("seed = 0")), fold_mean=5, fold_median=5)
+    return rnd(rp.fold_spread(_raw(spark, d).where("seed = 0")), fold_mean=7, fold_median=7)
 
 
 @query
@@ -398,15 +406,15 @@ def nemenyi_p(spark, d):
 @query
 def wilcoxon_stat(spark, d):
     diff = sg.paired(_errors(spark, d), sg.pair_table(spark, PAIRS)).withColumn("d", F.round("d", 6))
-    return rnd(sg.wilcoxon(diff, p_values=False), median_diff=6, rank_biserial=6)
+    return rnd(sg.wilcoxon(cut_lineage(diff), p_values=False), median_diff=7, rank_biserial=6)
 
 
 @query
 def wilcoxon_allpairs_holm(spark, d):
     e = _errors(spark, d)
     diff = sg.paired(e, sg.all_pairs(e)).withColumn("d", F.round("d", 6))
-    t = sg.holm(sg.wilcoxon(diff), ["scenario"], tie=["A", "B"])
-    return t.select("scenario", "A", "B", F.round("median_diff", 6).alias("median_diff"), F.round("p", 8).alias("p"),
+    t = sg.holm(sg.wilcoxon(cut_lineage(diff)), ["scenario"], tie=["A", "B"])
+    return t.select("scenario", "A", "B", F.round("median_diff", 7).alias("median_diff"), F.round("p", 8).alias("p"),
                     F.round("p_holm", 8).alias("p_holm"), "reject", F.round("rank_biserial", 6).alias("rank_biserial"))
 
 
@@ -420,12 +428,10 @@ def holm(spark, d):
 
 @query
 def spearman(spark, d):
-    s = tb.well_samples(spark, d)
-    e = _errors(spark, d)
-    gain = sp.neighbour_gain(e, "locf", "mean").join(
-        sp.neighbour_availability(*_availability_inputs(spark, d)).select("well", F.round("n_avail", 6).alias("n_avail")), "well")
-    del s
-    return rnd(sg.spearman(gain.withColumn("gain", F.round("gain", 6)), ["scenario"], "gain", "n_avail", p_values=False), rho=6)
+    avail = sp.neighbour_availability(*_availability_inputs(spark, d)).select("well", F.round("n_avail", 6).alias("n_avail"))
+    gain = sp.neighbour_gain(_errors(spark, d), "locf", "mean").withColumn("gain", F.round("gain", 6))
+    both = cut_lineage(gain.join(avail, "well"))
+    return rnd(sg.spearman(both, ["scenario"], "gain", "n_avail", p_values=False), rho=6)
 
 
 @query

@@ -409,44 +409,43 @@ ORACLES |= {
         f"round(coalesce({c}, CASE WHEN by_{c} IS NOT NULL AND ay_{c} IS NOT NULL THEN by_{c} + (ay_{c} - by_{c}) * (s.idx - bt_{c}) / (at_{c} - bt_{c})::DOUBLE ELSE coalesce(by_{c}, ay_{c}) END, mu_{c}), 6) AS {c}"
         for c in COLS) + " FROM s JOIN nbr n ON s.well = n.well AND s.idx = n.idx JOIN scl ON s.well = scl.well", "s", "nbr", "scl"),
     "overlap_avg": build("SELECT well, seg_start, rep, idx, log, round(pred, 5) AS pred FROM em_win", "em_win"),
-    "empirical_blackout": build("SELECT method, log, well, count(*) AS n, round(sum((pred - truth) * (pred - truth)), 3) AS sse, round(sum(abs(pred - truth)), 3) AS sae FROM em_pts GROUP BY ALL", "em_pts"),
+    "empirical_blackout": build("SELECT method, log, well, count(*) AS n, round(sum((pred - truth) * (pred - truth)), CASE WHEN log = 'GR' THEN 3 ELSE 6 END) AS sse, round(sum(abs(pred - truth)), CASE WHEN log = 'GR' THEN 3 ELSE 6 END) AS sae FROM em_pts GROUP BY method, log, well", "em_pts"),
     "entry_slice": build(f"""SELECT method, scenario, log, {r('mae', 6)}, {r('rmse', 6)}, {r('r2', 6)}, {r('cc', 6)}, n FROM (
         SELECT method, scenario, log, {MET} FROM pb GROUP BY method, scenario, log UNION ALL SELECT method, scenario, 'all', {MET} FROM pb GROUP BY method, scenario)""", "pb"),
     "point_metrics": build(f"""SELECT method, scenario, log, {r('mae', 6)}, {r('rmse', 6)}, {r('r2', 6)}, {r('cc', 5)}, n FROM (
         SELECT method, scenario, log, {MET} FROM p0 GROUP BY method, scenario, log UNION ALL SELECT method, scenario, 'all', {MET} FROM p0 GROUP BY method, scenario)""", "p0"),
     "pooled_vs_foldmean": build(f"""SELECT method, scenario, log, {r('pooled_r2', 5)}, n, {r('fold_mean_r2', 5)}, n_folds FROM (SELECT method, scenario, log, r2 AS pooled_r2, n FROM (SELECT method, scenario, log, {MET} FROM p0 GROUP BY ALL)) a
         JOIN (SELECT method, scenario, log, avg(r2) AS fold_mean_r2, count(r2) AS n_folds FROM (SELECT method, scenario, log, well, {MET} FROM p0 GROUP BY ALL) WHERE r2 IS NOT NULL GROUP BY ALL) b USING (method, scenario, log)""", "p0"),
-    "suff_stats": build("SELECT method, log, scenario, mask_seed, init_seed, well, n, round(sum_y, 3) AS sum_y, round(sum_y2, 3) AS sum_y2, round(sse, 3) AS sse, round(sae, 3) AS sae FROM f01", "f01"),
+    "suff_stats": build("SELECT method, log, scenario, mask_seed, init_seed, well, n, " + ", ".join(f"round({c}, CASE WHEN log = 'GR' THEN 3 ELSE 6 END) AS {c}" for c in ("sum_y", "sum_y2", "sse", "sae")) + " FROM f01", "f01"),
     "macro_r2": build(f"SELECT method, init_seed, mask_seed, scenario, {r('r2_macro', 6)} FROM f01_mac", "f01_mac"),
     "nrmse_well": build("SELECT method, init_seed, mask_seed, scenario, well, round(nrmse, 6) AS nrmse FROM nr", "nr"),
-    "fallback_sigma": build("""SELECT method, init_seed, mask_seed, scenario, log, well, round(CASE WHEN n > 1 THEN sqrt(greatest(sy2 / n - (sy / n) * (sy / n), 0)) END, 5) AS sigma FROM (SELECT *,
-        sum(n) OVER g - n AS n_, sum(sum_y) OVER g - sum_y AS sy, sum(sum_y2) OVER g - sum_y2 AS sy2 FROM f01 WINDOW g AS (PARTITION BY method, init_seed, mask_seed, scenario, log)) q,
-        LATERAL (SELECT q.n_ AS n) z""".replace("SELECT method, init_seed", "SELECT method, init_seed").replace("CASE WHEN n > 1", "CASE WHEN n_ > 1").replace("sy2 / n -", "sy2 / n_ -").replace("(sy / n) * (sy / n)", "(sy / n_) * (sy / n_)").replace(",\n        LATERAL (SELECT q.n_ AS n) z", ""), "f01"),
+    "fallback_sigma": build("""SELECT method, init_seed, mask_seed, scenario, log, well, round(CASE WHEN n_ > 1 THEN sqrt(greatest(sy2 / n_ - (sy / n_) * (sy / n_), 0)) END, 5) AS sigma FROM (SELECT *,
+        sum(n) OVER g - n AS n_, sum(sum_y) OVER g - sum_y AS sy, sum(sum_y2) OVER g - sum_y2 AS sy2 FROM f01 WINDOW g AS (PARTITION BY method, init_seed, mask_seed, scenario, log))""", "f01"),
     "per_log_table": build(f"""SELECT method, scenario, log, count(*) AS n_seeds, {r('avg(r2)', 6, 'r2_mean')}, {r('coalesce(stddev_samp(r2), 0.0)', 6, 'r2_sd')}, {r('avg(mae)', 6, 'mae_mean')}, {r('avg(rmse)', 6, 'rmse_mean')}
         FROM f01_log GROUP BY method, scenario, log""", "f01_log"),
-    "main_table": build(f"""SELECT method, scenario, n_seeds, {r('m', 6, 'r2_macro_mean')}, {r('sd', 6, 'r2_macro_sd')}, row_number() OVER (PARTITION BY scenario ORDER BY m DESC, {MORD}, method) AS rank_r2_macro,
+    "main_table": build(f"""SELECT method, scenario, n_seeds, {r('m', 6, 'r2_macro_mean')}, {r('sd', 6, 'r2_macro_sd')}, row_number() OVER (PARTITION BY scenario ORDER BY round(m, 9) DESC, {MORD}, method) AS rank_r2_macro,
         round(q1, 6) AS nrmse_well_q1, round(q2, 6) AS nrmse_well_median, round(q3, 6) AS nrmse_well_q3, round(av, 6) AS nrmse_well_mean
         FROM (SELECT method, scenario, count(*) AS n_seeds, avg(r2_macro) AS m, coalesce(stddev_samp(r2_macro), 0.0) AS sd FROM f01_mac GROUP BY method, scenario) a
         LEFT JOIN (SELECT method, scenario, quantile_cont(nrmse, 0.25) AS q1, quantile_cont(nrmse, 0.5) AS q2, quantile_cont(nrmse, 0.75) AS q3, avg(nrmse) AS av FROM err0 GROUP BY method, scenario) b USING (method, scenario)""", "f01_mac", "err0"),
     "seed_variance": build(f"""SELECT method, scenario, 2 AS n_init_seeds, count(*) AS n_mask_seeds, {r('avg(r2_macro)', 6, 'r2_macro_mean')}, 2 * count(*) AS n_cells, 0.0 AS sd_init,
         {r('stddev_samp(r2_macro)', 6, 'sd_mask')}, 0.0 AS sd_init_at_mask0 FROM fml_mac GROUP BY method, scenario""", "fml_mac"),
-    "rank_stability": build(f"SELECT scenario, mask_seed AS seed, row_number() OVER (PARTITION BY scenario, mask_seed ORDER BY r2 DESC, {MORD}, method) AS rank, method, {r('r2', 6, 'r2_all')} FROM f01_all WHERE log = 'all'", "f01_all"),
+    "rank_stability": build(f"SELECT scenario, mask_seed AS seed, row_number() OVER (PARTITION BY scenario, mask_seed ORDER BY round(r2, 9) DESC, {MORD}, method) AS rank, method, {r('r2', 6, 'r2_all')} FROM f01_all WHERE log = 'all'", "f01_all"),
     "top_verdict": build(f"""SELECT scenario, count(*) AS n_seeds, count(DISTINCT method) AS n_leaders, array_to_string(list_sort(list(DISTINCT method)), ',') AS leaders,
-        CASE WHEN count(DISTINCT method) = 1 THEN 'STABLE' ELSE 'UNSTABLE' END AS verdict FROM (SELECT scenario, method, row_number() OVER (PARTITION BY scenario, mask_seed ORDER BY r2 DESC, {MORD}, method) AS rk FROM f01_all WHERE log = 'all')
+        CASE WHEN count(DISTINCT method) = 1 THEN 'STABLE' ELSE 'UNSTABLE' END AS verdict FROM (SELECT scenario, method, row_number() OVER (PARTITION BY scenario, mask_seed ORDER BY round(r2, 9) DESC, {MORD}, method) AS rk FROM f01_all WHERE log = 'all')
         WHERE rk = 1 GROUP BY scenario""", "f01_all"),
     "seed_ci": build(f"""SELECT method, scenario, log, n_seeds, {r('m', 6, '"pooledR2_mean"')}, {r('sd', 6, '"pooledR2_std"')}, {r('m - 12.706204736174694 * sd / sqrt(2)', 5, '"pooledR2_ci_low"')}, {r('m + 12.706204736174694 * sd / sqrt(2)', 5, '"pooledR2_ci_high"')}
         FROM (SELECT method, scenario, log, count(*) AS n_seeds, avg(r2) AS m, stddev_samp(r2) AS sd FROM f01_all GROUP BY ALL)""", "f01_all"),
-    "fold_spread": build(f"SELECT method, scenario, log, {r('avg(r2)', 5, 'fold_mean')}, count(r2) AS n_folds, {r('quantile_cont(r2, 0.5)', 5, 'fold_median')} FROM raw01 WHERE seed = 0 GROUP BY method, scenario, log", "raw01"),
+    "fold_spread": build(f"SELECT method, scenario, log, {r('avg(r2)', 7, 'fold_mean')}, count(r2) AS n_folds, {r('quantile_cont(r2, 0.5)', 7, 'fold_median')} FROM raw01 WHERE seed = 0 GROUP BY method, scenario, log", "raw01"),
     "dedup_raw": "SELECT user_id AS seed, event_type AS method, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "mask_parity": build("SELECT scenario, mask_seed, log, count(DISTINCT method) AS n_methods, CAST(sum(n) AS BIGINT) AS n_points, 0 AS bad FROM f0 GROUP BY scenario, mask_seed, log", "f0"),
-    "mask_ids": build("""SELECT scenario, mask_seed, fold_id AS fold, 'W' || lpad(CAST(fold_id + 1 AS VARCHAR), greatest(2, length(CAST(fold_id + 1 AS VARCHAR))), '0') AS label,
+    "mask_ids": build("""SELECT scenario, mask_seed, fold_id AS fold, 'W' || lpad(CAST(fold_id + 1 AS VARCHAR), CAST(greatest(2, length(CAST(fold_id + 1 AS VARCHAR))) AS INTEGER), '0') AS label,
         coalesce(max(n) FILTER (log = 'GR'), 0) AS "n_GR", coalesce(max(n) FILTER (log = 'RHOB'), 0) AS "n_RHOB", coalesce(max(n) FILTER (log = 'NPHI'), 0) AS "n_NPHI"
         FROM fml JOIN folds ON well = test_well WHERE method = 'mean' GROUP BY scenario, mask_seed, fold_id""", "fml", "folds"),
     "friedman_wells": build('SELECT scenario, k_methods, n_blocks, chi2_F AS "chi2_F", kendall_W AS "kendall_W" FROM fr_w', "fr_w"),
     "friedman_folds": build('SELECT scenario, seed, k_methods, n_blocks, chi2_F AS "chi2_F", kendall_W AS "kendall_W" FROM fr_f', "fr_f"),
-    "nemenyi_ranks": build("""SELECT a.scenario, a.method AS "A", b.method AS "B", a.k, a.n, round(abs(a.mr - b.mr), 6) AS rank_gap, round(abs(a.mr - b.mr) / sqrt(a.k * (a.k + 1) / (6.0 * a.n)) * sqrt(2.0), 5) AS q
-        FROM (SELECT *, count(*) OVER (PARTITION BY scenario) AS k FROM fr_w_s) a JOIN fr_w_s b ON a.scenario = b.scenario AND a.method < b.method""".replace("a.k, a.n, ", ""), "fr_w_s"),
-    "wilcoxon_stat": build("""SELECT b.scenario, b.pair_ord, b.A AS "A", b.B AS "B", n, n_zero, round(med, 6) + 0.0 AS median_diff, t_plus, t_minus,
+    "nemenyi_ranks": build("""SELECT a.scenario, a.method AS "A", b.method AS "B", round(abs(a.mr - b.mr), 6) AS rank_gap, round(abs(a.mr - b.mr) / sqrt(a.k * (a.k + 1) / (6.0 * a.n)) * sqrt(2.0), 5) AS q
+        FROM (SELECT *, count(*) OVER (PARTITION BY scenario) AS k FROM fr_w_s) a JOIN fr_w_s b ON a.scenario = b.scenario AND a.method < b.method""", "fr_w_s"),
+    "wilcoxon_stat": build("""SELECT b.scenario, b.pair_ord, b.A AS "A", b.B AS "B", n, n_zero, round(med, 7) + 0.0 AS median_diff, t_plus, t_minus,
         CASE WHEN n >= 5 AND t_plus IS NOT NULL THEN least(t_plus, t_minus) END AS "W_stat", CASE WHEN n >= 5 THEN round((t_plus - t_minus) / (t_plus + t_minus), 6) + 0.0 END AS rank_biserial
         FROM (SELECT scenario, pair_ord, A, B, count(*) AS n, count(*) FILTER (d = 0) AS n_zero, quantile_cont(d, 0.5) AS med FROM dif GROUP BY ALL) b
         LEFT JOIN wsum w ON b.scenario = w.scenario AND b.pair_ord = w.pair_ord""", "dif", "wsum"),

@@ -15,6 +15,7 @@ from ..operators.scaling import MOMENTS, SCALER, window_moments, with_ridge, wit
 from ..operators.windows import window_samples
 from ..operators.scaling import others
 from ..operators.cleaning import COLS
+from ..session import cut_lineage
 
 
 def overlapping(windows: DataFrame, test: DataFrame, size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
@@ -31,7 +32,7 @@ def overlapping(windows: DataFrame, test: DataFrame, size: int = WINDOW, stride:
 
 def train_sets(windows: DataFrame, seed: int = 0, test_frac: float = 0.2) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Test windows and the training windows of configurations A and B."""
-    split = window_split(windows, seed, test_frac)
+    split = cut_lineage(window_split(windows, seed, test_frac))
     test = split.where("is_test").select("well", "start")
     a = split.where("NOT is_test").select("well", "start")
     return test, {"A_window_overlap": a, "B_window_no_overlap": overlapping(a, test)}
@@ -68,18 +69,21 @@ def matched_experiment(samples: DataFrame, windows: DataFrame, method: str = "ri
     neighbour grid at test positions.)
     """
     test, sets = train_sets(windows, seed, test_frac)
-    wm = window_moments(samples, size, stride)
-    n_match = matched_counts(windows, test, sets).agg(F.min("n_match").alias("n_match"))
-    ws = window_samples(samples, size, stride).join(test, ["well", "start"], "left_semi")
-    masked = apply_masks(ws, scenarios, (0,), size)
+    wm = cut_lineage(window_moments(samples, size, stride))
+    n_match = cut_lineage(matched_counts(wm.select("well", "start"), test, sets).agg(F.min("n_match").alias("n_match")))
     wells = test.select("well").distinct()
-    out = None
+    fits = _well_split_fits(wm, wells, n_match, seed + 9).withColumn("config", F.lit("D_well_split"))
     for i, (name, train) in enumerate(sets.items()):
         pool = _take(train, n_match, seed + 1 + i)
-        fits = _with_scalar(wells, global_fits(wm.join(pool, ["well", "start"], "left_semi")))
-        out = _score(out, masked, fits, method, name)
-    fits = _well_split_fits(windows, wm, wells, n_match, seed + 9)
-    return _score(out, masked, fits, method, "D_well_split")
+        shared = _with_scalar(wells, global_fits(wm.join(pool, ["well", "start"], "left_semi")))
+        fits = fits.unionByName(shared.withColumn("config", F.lit(name)))
+    ws = window_samples(samples, size, stride).join(test, ["well", "start"], "left_semi")
+    # one pass over the masked windows: every position meets the fits of all configurations
+    pred = predict(apply_masks(ws, scenarios, (0,), size), cut_lineage(fits), [method])
+    pts = to_points(pred, [method], ["mask_seed", "scenario", "well", "start", "t", "config"])
+    return pts.groupBy("method", "scenario", "log", "config").agg(
+        F.count("truth").alias("n"),
+        (1 - F.try_divide(F.sum(F.pow(F.col("pred") - F.col("truth"), 2)), F.var_pop("truth") * F.count("truth"))).alias("r2"))
 
 
 def _take(train: DataFrame, n_match: DataFrame, seed: int) -> DataFrame:
@@ -88,7 +92,7 @@ def _take(train: DataFrame, n_match: DataFrame, seed: int) -> DataFrame:
     return pos.where("pos < n_match").select("well", "start")
 
 
-def _well_split_fits(windows: DataFrame, wm: DataFrame, wells: DataFrame, n_match: DataFrame, seed: int) -> DataFrame:
+def _well_split_fits(wm: DataFrame, wells: DataFrame, n_match: DataFrame, seed: int) -> DataFrame:
     """Leave-one-well-out fits on a matched number of windows, without a train set per well.
 
     Windows get one random order.  The first n_match windows outside a well end at position
@@ -96,7 +100,8 @@ def _well_split_fits(windows: DataFrame, wm: DataFrame, wells: DataFrame, n_matc
     order minus the well's own part of it; prefixes differ by at most one well's windows.
     """
     from ..operators.masking import SALT_SPLIT, shuffled
-    pos = shuffled(windows, seed, SALT_SPLIT + 2).select("well", "start", "pos").join(wm, ["well", "start"])
+    order = shuffled(wm.select("well", "start"), seed, SALT_SPLIT + 2).select("well", "start", "pos")
+    pos = cut_lineage(order.join(wm, ["well", "start"]))
     own = pos.join(wells, "well", "left_semi").select("well", "pos")
     from ..functions.ordered import CHUNK, ordinal
     ranked = ordinal(own.withColumn("_slab", F.expr(f"pos div {CHUNK}")), ["well"], "_slab", ["pos"], "own_rank")
@@ -132,14 +137,6 @@ def _prefix_fits(pos: DataFrame, cuts: DataFrame) -> DataFrame:
     return with_ridge(with_scaler(fold)).select("well", *cols)
 
 
-def _score(out: DataFrame | None, masked: DataFrame, fits: DataFrame, method: str, name: str) -> DataFrame:
-    pts = to_points(predict(masked, fits, [method]), [method], ["mask_seed", "scenario", "well", "start", "t"])
-    rows = pts.groupBy("method", "scenario", "log").agg(
-        F.count("truth").alias("n"), (1 - F.sum(F.pow(F.col("pred") - F.col("truth"), 2))
-                                      / (F.var_pop("truth") * F.count("truth"))).alias("r2")).withColumn("config", F.lit(name))
-    return rows if out is None else out.unionByName(rows)
-
-
 def leak_split_metrics(samples: DataFrame, windows: DataFrame, method: str = "ridge", seed: int = 0,
                        test_frac: float = 0.2, **kw) -> DataFrame:
     """Window-level split: one scaler and model over the training windows of all wells, then

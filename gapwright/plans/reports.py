@@ -13,6 +13,10 @@ from ..operators.metrics import CELL, macro_r2, merge_stats, nrmse_per_well, poo
 from ..operators.significance import mean_sd_ci, seed_average
 
 
+#: scores equal to this many digits tie; the order of a distributed sum is not fixed
+TIE_DIGITS = 9
+
+
 def method_order(df: DataFrame, col: str = "method") -> DataFrame:
     """Add ``method_ord``: canonical methods first, the others by name after them."""
     place = F.coalesce(*[F.when(F.col(col) == m, F.lit(i)) for i, m in enumerate(ORDER)], F.lit(len(ORDER)))
@@ -36,7 +40,7 @@ def main_table(suff: DataFrame, sigma: DataFrame) -> DataFrame:
     macro = macro_r2(suff).groupBy("method", "scenario").agg(
         F.count(F.lit(1)).alias("n_seeds"), F.avg("r2_macro").alias("r2_macro_mean"),
         F.coalesce(F.stddev_samp("r2_macro"), F.lit(0.0)).alias("r2_macro_sd"))
-    w = Window.partitionBy("scenario").orderBy(F.col("r2_macro_mean").desc(), "method_ord", "method")
+    w = Window.partitionBy("scenario").orderBy(F.round("r2_macro_mean", TIE_DIGITS).desc(), "method_ord", "method")
     ranked = method_order(macro).withColumn("rank_r2_macro", F.row_number().over(w)).drop("method_ord")
     err = seed_average(nrmse_per_well(suff, sigma))
     spread = exact_percentiles(err, ["method", "scenario"], "nrmse",
@@ -55,7 +59,7 @@ def all_log_r2(suff: DataFrame, keys: Sequence[str] = tuple(CELL)) -> DataFrame:
 def rank_stability(suff: DataFrame) -> DataFrame:
     """Rank of every method per (scenario, seed) by the pooled R2 over all logs."""
     v = all_log_r2(suff).where("log = 'all' AND r2 IS NOT NULL")
-    w = Window.partitionBy("scenario", "mask_seed").orderBy(F.col("r2").desc(), "method_ord", "method")
+    w = Window.partitionBy("scenario", "mask_seed").orderBy(F.round("r2", TIE_DIGITS).desc(), "method_ord", "method")
     return method_order(v).select("scenario", F.col("mask_seed").alias("seed"), F.row_number().over(w).alias("rank"), "method",
                                   F.col("r2").alias("r2_all"))
 

@@ -33,6 +33,8 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     base = {
         "spark.driver.memory": "12g",
         "spark.sql.shuffle.partitions": str(cpus),
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.driver.host": "127.0.0.1",
         "spark.driver.bindAddress": "127.0.0.1",
     }
