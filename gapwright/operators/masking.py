@@ -102,7 +102,10 @@ def mask_bits(df: DataFrame, scenarios: Sequence[str], size: int = WINDOW, n_poi
                    F.expr(f"scenario = 'single' AND ({hits})").alias("_hit"))
     df = df.withColumn("_from", F.expr(f"CAST(floor(_place * ({size} - _len + 1)) AS INT)"))
     inside = (F.col("t") >= F.col("_from")) & (F.col("t") < F.col("_from") + F.col("_len"))
-    return df.select(*keep, F.when(F.col("_hit") | inside, F.col("_cols")).otherwise(0).cast("int").alias("mask_bits"))
+    bits = F.when(F.col("_hit") | inside, F.col("_cols")).otherwise(0).cast("int")
+    # emitted by a one-element generator: a later filter on mask_bits then reads the finished
+    # column instead of being pushed down as a copy of the whole draw arithmetic
+    return df.select(*keep, F.explode(F.array(bits)).alias("mask_bits"))
 
 
 def apply_masks(ws: DataFrame, scenarios: Iterable[str] = SCENARIOS, mask_seeds: Iterable[int] = (0,),
