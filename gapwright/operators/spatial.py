@@ -277,8 +277,6 @@ def pair_semivariances(grid: DataFrame, coords: DataFrame) -> DataFrame:
             va, ma = dense(a, ai)
             vb, mb = dense(b, bi)
             n = ma @ mb.T
-            shift = va.sum() / max(ma.sum(), 1)          # same offset on both sides: differences are unchanged
-            va, vb = np.where(ma > 0, va - shift, 0.0), np.where(mb > 0, vb - shift, 0.0)
             ss = (va ** 2) @ mb.T + ma @ (vb ** 2).T - 2 * va @ vb.T
             i, j = np.nonzero(lower & (n > 0))
             parts.append(pd.DataFrame({"a": ai.to_numpy()[i], "b": bi.to_numpy()[j], "log": c.upper(),

@@ -356,7 +356,8 @@ cte("pvr", "pv", "SELECT *, count(*) OVER (PARTITION BY l_returnflag) - row_numb
 
 def points(src: str, method: str) -> str:
     """Predictions of one method as rows."""
-    return f"SELECT well, start, t, log, round(pred, 5) AS pred FROM {src} WHERE method = '{method}'"
+    digits = 9 if method == "interp_linear" else 5
+    return f"SELECT well, start, t, log, round(pred, {digits}) AS pred FROM {src} WHERE method = '{method}'"
 
 
 ORACLES: dict[str, str] = {}
@@ -435,7 +436,7 @@ ORACLES |= {
         WHERE rk = 1 GROUP BY scenario""", "f01_all"),
     "seed_ci": build(f"""SELECT method, scenario, log, n_seeds, {r('m', 6, '"pooledR2_mean"')}, {r('sd', 6, '"pooledR2_std"')}, {r('m - 12.706204736174694 * sd / sqrt(2)', 5, '"pooledR2_ci_low"')}, {r('m + 12.706204736174694 * sd / sqrt(2)', 5, '"pooledR2_ci_high"')}
         FROM (SELECT method, scenario, log, count(*) AS n_seeds, avg(r2) AS m, stddev_samp(r2) AS sd FROM f01_all GROUP BY ALL)""", "f01_all"),
-    "fold_spread": build(f"SELECT method, scenario, log, {r('avg(r2)', 7, 'fold_mean')}, count(r2) AS n_folds, {r('quantile_cont(r2, 0.5)', 7, 'fold_median')} FROM raw01 WHERE seed = 0 GROUP BY method, scenario, log", "raw01"),
+    "fold_spread": build(f"SELECT method, scenario, log, {r('avg(r2)', 9, 'fold_mean')}, count(r2) AS n_folds, {r('quantile_cont(r2, 0.5)', 7, 'fold_median')} FROM raw01 WHERE seed = 0 GROUP BY method, scenario, log", "raw01"),
     "dedup_raw": "SELECT user_id AS seed, event_type AS method, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "mask_parity": build("SELECT scenario, mask_seed, log, count(DISTINCT method) AS n_methods, CAST(sum(n) AS BIGINT) AS n_points, 0 AS bad FROM f0 GROUP BY scenario, mask_seed, log", "f0"),
     "mask_ids": build("""SELECT scenario, mask_seed, fold_id AS fold, 'W' || lpad(CAST(fold_id + 1 AS VARCHAR), CAST(greatest(2, length(CAST(fold_id + 1 AS VARCHAR))) AS INTEGER), '0') AS label,
@@ -464,7 +465,7 @@ ORACLES |= {
         FROM sp_t t LEFT JOIN sp_v v ON v.g = t.g AND v.log = t.log AND v.well <> t.well LEFT JOIN dist d ON d.src = t.well AND d.dst = v.well GROUP BY ALL) JOIN mus USING (well, log)""", "sp_t", "sp_v", "dist", "mus"),
     "impute_nnwell": build("""SELECT well, start, t, log, round(coalesce(nv, mu), 4) AS pred FROM (SELECT t.well, t.start, t.t, t.log, min_by(v.v, d.d) AS nv
         FROM sp_t t LEFT JOIN sp_v v ON v.g = t.g AND v.log = t.log AND v.well <> t.well LEFT JOIN dist d ON d.src = t.well AND d.dst = v.well GROUP BY ALL) JOIN mus USING (well, log)""", "sp_t", "sp_v", "dist", "mus"),
-    "variogram_pairs": build("""SELECT a.well AS a, b.well AS b, a.log, round(any_value(d.d) / 1000.0, 6) AS d_km, count(*) AS n, round(avg((a.v - b.v) * (a.v - b.v)) / 2.0, 4) AS gamma FROM sp_v a JOIN sp_v b ON a.g = b.g AND a.log = b.log AND a.well < b.well
+    "variogram_pairs": build("""SELECT a.well AS a, b.well AS b, a.log, round(any_value(d.d) / 1000.0, 6) AS d_km, count(*) AS n, round(avg((a.v - b.v) * (a.v - b.v)) / 2.0, CASE a.log WHEN 'GR' THEN 4 WHEN 'RHOB' THEN 8 ELSE 12 END) AS gamma FROM sp_v a JOIN sp_v b ON a.g = b.g AND a.log = b.log AND a.well < b.well
         JOIN dist d ON d.src = a.well AND d.dst = b.well GROUP BY a.well, b.well, a.log""", "sp_v", "dist"),
     "neighbour_availability": build("SELECT well, round(n_avail, 6) AS n_avail, round(d_nearest_km, 6) AS d_nearest_km, round(w_avail, 6) AS w_avail, k_neighbours FROM navail", "navail"),
     "norm_ids": """SELECT s_suppkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(upper(lower(s_name) || '_ss--' || s_nationkey || 'd-14-' || s_suppkey || 'x'),
