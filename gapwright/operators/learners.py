@@ -85,7 +85,7 @@ def _with_scale(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return _with_scalar(df, one_row)
 
 
-def knn_impute(queries: DataFrame, train: DataFrame, target: str, fits: DataFrame, k: int = KNN_K, cell: float = 0.05,
+def knn_impute(queries: DataFrame, train: DataFrame, target: str, k: int = KNN_K, cell: float = 0.05,
                levels: int = 12) -> DataFrame:
     """Inverse-distance mean of the ``k`` nearest training rows of other wells.
 
@@ -96,7 +96,6 @@ def knn_impute(queries: DataFrame, train: DataFrame, target: str, fits: DataFram
     rows of other wells, then searches the 3 x 3 block one level up, which provably holds the
     answer.  A zero distance makes the exact matches the only ones that count.
     """
-    del fits
     order = Window.partitionBy("za", "zb", "well").orderBy("start", "t")
     per_well = train.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
     top = Window.partitionBy("za", "zb").orderBy("well", "start", "t")

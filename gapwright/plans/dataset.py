@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cleaning import coverage, depth_qc, drop_failing, harmonise, quality_report, triplet_wells
+from ..operators.missingness import code_runs, gaps, gaps_per_well, intervals, well_lengths
 from ..operators.windows import folds, intact_windows
 from ..session import cut_lineage
 from ..sinks.store import missingness_document, write_csv, write_dataset
@@ -27,7 +28,9 @@ def build_dataset(spark: SparkSession, las_dir: str, out_dir: str) -> dict[str,
     windows = intact_windows(study)
     report = quality_report(coverage(clean), actions, picks.join(clean.select("well").distinct(), "well", "left_semi"), qc)
     all_folds = folds(eligible)
-    write_dataset(out_dir, {"well_samples": clean, "windows": windows, "folds": all_folds})
+    runs = code_runs(study)
+    write_dataset(out_dir, {"well_samples": clean, "windows": windows, "folds": all_folds, "intervals": intervals(runs),
+                            "gaps_per_well": gaps_per_well(gaps(runs, well_lengths(study)))})
     write_csv(report, f"{out_dir}/quality_report")
     write_csv(qc, f"{out_dir}/depth_qc")
     missingness_document(study).coalesce(1).write.mode("overwrite").text(f"{out_dir}/missingness")

@@ -53,8 +53,11 @@ def finished(spark: SparkSession, path: str) -> set[tuple[int, int, str]]:
     return {(r["init_seed"], r["mask_seed"], r["method"]) for r in rows}
 
 
-def missingness_document(samples: DataFrame, include_intervals: bool = True) -> DataFrame:
-    """One JSON row: co-occurrence, combinations, gap quartiles, gaps per well and raw intervals."""
+def missingness_document(samples: DataFrame) -> DataFrame:
+    """One JSON row of bounded size: co-occurrence, combinations and gap quartiles.
+
+    Raw intervals and gaps per well grow with the data, so they are tables of their own.
+    """
     from ..operators import missingness as ms
     runs = ms.code_runs(samples)
     iv, gaps = ms.intervals(runs), ms.gaps(runs, ms.well_lengths(samples))

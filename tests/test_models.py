@@ -239,7 +239,7 @@ def test_knn_matches_brute_force(spark):
     train = spark.createDataFrame(rows, "well int, start int, t int, za double, zb double, y double")
     qs = [(i, int(rng.integers(0, 4)), float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(60, 2)))]
     qs += [(100 + i, int(well[i]), float(za[i]), float(zb[i])) for i in range(20)]
-    got = {r.qid: r.pred for r in knn_impute(spark.createDataFrame(qs, "qid int, well int, za double, zb double"), train, "y", train).collect()}
+    got = {r.qid: r.pred for r in knn_impute(spark.createDataFrame(qs, "qid int, well int, za double, zb double"), train, "y").collect()}
     for q, w, a, b in qs:
         keep = np.flatnonzero(well != w)
         dist = np.hypot(za[keep] - a, zb[keep] - b)
