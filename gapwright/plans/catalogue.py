@@ -512,8 +512,8 @@ def variogram_pairs(spark, d):
     s = tb.well_samples(spark, d)
     g = sp.on_grid(s, sp.grid_offsets(s))
     p = sp.pair_semivariances(g, tb.coords(spark, d))
-    gamma = F.when(F.col("log") == "GR", F.round("gamma", 4)).when(F.col("log") == "RHOB", F.round("gamma", 8)).otherwise(F.round("gamma", 9))
-    return rnd(p.withColumn("gamma", gamma), d_km=6)
+    # compared as the sum of squared differences: short decimals, so rounding never ties
+    return rnd(p.withColumn("sum_sq", F.col("gamma") * 2 * F.col("n")).drop("gamma"), d_km=6, sum_sq=6)
 
 
 def _availability_inputs(spark, d):

@@ -465,7 +465,7 @@ ORACLES |= {
         FROM sp_t t LEFT JOIN sp_v v ON v.g = t.g AND v.log = t.log AND v.well <> t.well LEFT JOIN dist d ON d.src = t.well AND d.dst = v.well GROUP BY ALL) JOIN mus USING (well, log)""", "sp_t", "sp_v", "dist", "mus"),
     "impute_nnwell": build("""SELECT well, start, t, log, round(coalesce(nv, mu), 4) AS pred FROM (SELECT t.well, t.start, t.t, t.log, min_by(v.v, d.d) AS nv
         FROM sp_t t LEFT JOIN sp_v v ON v.g = t.g AND v.log = t.log AND v.well <> t.well LEFT JOIN dist d ON d.src = t.well AND d.dst = v.well GROUP BY ALL) JOIN mus USING (well, log)""", "sp_t", "sp_v", "dist", "mus"),
-    "variogram_pairs": build("""SELECT a.well AS a, b.well AS b, a.log, round(any_value(d.d) / 1000.0, 6) AS d_km, count(*) AS n, round(avg((a.v - b.v) * (a.v - b.v)) / 2.0, CASE a.log WHEN 'GR' THEN 4 WHEN 'RHOB' THEN 8 ELSE 9 END) AS gamma FROM sp_v a JOIN sp_v b ON a.g = b.g AND a.log = b.log AND a.well < b.well
+    "variogram_pairs": build("""SELECT a.well AS a, b.well AS b, a.log, round(any_value(d.d) / 1000.0, 6) AS d_km, count(*) AS n, round(sum((a.v - b.v) * (a.v - b.v)), 6) AS sum_sq FROM sp_v a JOIN sp_v b ON a.g = b.g AND a.log = b.log AND a.well < b.well
         JOIN dist d ON d.src = a.well AND d.dst = b.well GROUP BY a.well, b.well, a.log""", "sp_v", "dist"),
     "neighbour_availability": build("SELECT well, round(n_avail, 6) AS n_avail, round(d_nearest_km, 6) AS d_nearest_km, round(w_avail, 6) AS w_avail, k_neighbours FROM navail", "navail"),
     "norm_ids": """SELECT s_suppkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(upper(lower(s_name) || '_ss--' || s_nationkey || 'd-14-' || s_suppkey || 'x'),
