@@ -11,7 +11,7 @@ d AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram)
 c AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM d, (SELECT unnest([0, 1, 2]) AS o) GROUP BY rid),
 m AS (SELECT t.rid, t.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
         length(text) - length(regexp_replace(text, '\p{L}+', '', 'g')) AS n_letters
       FROM t JOIN w USING (rid)),
 r AS (SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
