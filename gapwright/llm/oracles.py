@@ -24,4 +24,33 @@ f AS (SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)
 SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": QUALITY}
+SHARDS = r"""
+WITH tbl AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crc AS (SELECT doc_id, len(h) // 2 + 1 AS size,
+        xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(len(h) // 2),
+            lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+            lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS text_crc32
+      FROM b, tbl),
+u AS (SELECT doc_id, s, 1.0::DOUBLE / -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || s), 1, 13))::BIGINT + 0.5::DOUBLE)
+        / 4503599627370496) AS v
+      FROM documents, (SELECT unnest(range(17)) AS s)),
+p AS (SELECT doc_id, arg_max(s, v) FILTER (s < 16) AS shard, arg_max(s, v) AS grown_shard FROM u GROUP BY doc_id)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM crc JOIN p USING (doc_id)
+"""
+
+LINES = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(r.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN r USING (key) GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": QUALITY, "op6_sharding": SHARDS, "op9_line_dedup": LINES}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapwright.llm import quality_rules
+from gapwright.llm import line_dedup, quality_rules, sharding
 from gapwright.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -19,6 +19,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.with_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard, slot and next shard of every document under rendezvous hashing over 16 shards."""
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), 16)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines that at least 10 documents share taken out."""
+    return line_dedup.digest_rows(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op6_sharding": op6_sharding,
+    "op9_line_dedup": op9_line_dedup,
 }
