@@ -24,6 +24,23 @@ f AS (SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)
 SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f
 """
 
+NEAR = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS ss FROM w),
+c AS MATERIALIZED (SELECT doc_id, len(ss) AS n, ss FROM s),
+classes AS MATERIALIZED (SELECT min(doc_id) AS rep, n, md5(array_to_string(list_sort(ss), chr(10))) AS k FROM c WHERE n > 0 GROUP BY ALL),
+x AS MATERIALIZED (SELECT rep, n, hash(unnest(ss)) AS g FROM (SELECT rep, classes.n, ss FROM classes JOIN c ON c.doc_id = rep)),
+p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * k >= 75 * (na + nb - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(id, r) AS (SELECT rep, rep FROM classes UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r),
+comp AS (SELECT id, min(r) AS comp FROM reach GROUP BY id)
+SELECT c.doc_id, c.n::BIGINT AS n_shingles, coalesce(comp, c.doc_id) AS component_id, coalesce(comp, c.doc_id) = c.doc_id AS kept
+FROM c LEFT JOIN classes ON classes.n = c.n AND k = md5(array_to_string(list_sort(ss), chr(10))) LEFT JOIN comp ON id = rep
+"""
+
 SHARDS = r"""
 WITH tbl AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8),
         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
@@ -53,4 +70,4 @@ SELECT doc_id, count(*) AS n_lines, count(r.key) AS n_dropped,
 FROM k LEFT JOIN r USING (key) GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": QUALITY, "op6_sharding": SHARDS, "op9_line_dedup": LINES}
+ORACLES: dict[str, str] = {"op2_quality_rules": QUALITY, "op4_minhash_near_dedup": NEAR, "op6_sharding": SHARDS, "op9_line_dedup": LINES}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapwright.llm import line_dedup, quality_rules, sharding
+from gapwright.llm import decontaminate, line_dedup, minhash, quality_rules, sharding
 from gapwright.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -19,6 +19,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.with_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document at a similarity of 0.75 over 5-word shingles."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard, slot and next shard of every document under rendezvous hashing over 16 shards."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 16)
@@ -29,8 +34,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest_rows(_table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, verbatim or with other numbers, names and units."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_sharding": op6_sharding,
     "op9_line_dedup": op9_line_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
