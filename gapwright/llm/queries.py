@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapwright.llm import decontaminate, line_dedup, minhash, quality_rules, sharding
+from gapwright.llm import decontaminate, line_dedup, minhash, quality_rules, sentencepiece_bpe, sharding
 from gapwright.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -19,6 +19,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.with_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and whether they decode to its text."""
+    return sentencepiece_bpe.encode_checked(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document at a similarity of 0.75 over 5-word shingles."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -41,6 +46,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_sharding": op6_sharding,
     "op9_line_dedup": op9_line_dedup,
