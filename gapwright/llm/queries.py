@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapwright.llm import decontaminate, line_dedup, minhash, quality_rules, sentencepiece_bpe, sharding
+from gapwright.llm import decontaminate, line_dedup, minhash, quality_rules, sentencepiece_bpe, sharding, substring_dedup
 from gapwright.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -29,6 +29,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that 200-byte strings repeat anywhere in the corpus."""
+    return substring_dedup.digest_rows(_table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard, slot and next shard of every document under rendezvous hashing over 16 shards."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 16)
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
