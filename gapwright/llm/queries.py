@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gapwright.llm import decontaminate, line_dedup, minhash, quality_rules, sentencepiece_bpe, sharding, substring_dedup, toxicity
+from gapwright.llm import decontaminate, html_extract, line_dedup, minhash, quality_rules, sentencepiece_bpe, sharding, substring_dedup, toxicity
 from gapwright.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -39,6 +40,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 16)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("__row.page_id", "__row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated toxicity score of every document."""
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -60,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
+    "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
