@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm import decontaminate, html_extract, line_dedup, minhash, quality_rules, sentencepiece_bpe, sharding, substring_dedup, toxicity
+from gapwright.llm import decontaminate, html_extract, line_dedup, minhash, quality_rules, sentencepiece_bpe, sharding, substring_dedup, toxicity, training_order
 from gapwright.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token sequences in training order."""
+    return training_order.ordered(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdict of the strictest policy for every document."""
     return quality_rules.with_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
@@ -62,6 +67,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_training_order": op1_training_order,
     "op2_quality_rules": op2_quality_rules,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
