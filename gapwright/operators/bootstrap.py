@@ -1,10 +1,9 @@
 """By-well cluster bootstrap on additive statistics.
 
-Wells are drawn with replacement, the same draw for both methods of a pair and for every
-seed.  Wells are cut into blocks of bounded size and each (block, pair) is one task: a
-multinomial draw over all wells is split exactly into per-block totals (a tree of binomial
-splits, seeded per node so all tasks agree) and a multinomial inside the block.  With one
-block the draw is the plain ``choice`` stream of a NumPy generator.
+Wells are drawn with replacement, the same draw for both methods of a pair and for every seed.  A multinomial draw over
+all wells is split exactly down a binary tree: each node divides its draws between its halves by a binomial seeded by the
+node, down to leaves of ``LEAF`` wells with a multinomial inside.  The tree depends on the number of wells alone, so every
+size uses the same rule and tasks of any number of leaves agree on every well's multiplicity.
 """
 
 from __future__ import annotations
@@ -21,46 +20,45 @@ from ..functions.ordered import ordinal
 from .metrics import FIELDS
 from .windows import _order_slab
 
-BLOCK = 4096
+LEAF = 64                   # wells of a leaf of the draw
+BLOCK = 4096                # wells that one task handles
 STEP = 256
 
 
-def _block_totals(n: int, block: int, size: int, reps: int, seed: Sequence[int]) -> np.ndarray:
-    """Draws that fall into one block, for every replicate."""
-    lo, hi = 0, -(-n // size)
-    wells = lambda a, b: min(n, b * size) - a * size
-    total = np.full(reps, n)
-    while hi - lo > 1:
+def _leaf_totals(n: int, first: int, last: int, reps: int, seed: Sequence[int]) -> dict[int, np.ndarray]:
+    """Draws that fall into the leaves ``first`` .. ``last - 1``, for every replicate."""
+    out: dict[int, np.ndarray] = {}
+    wells = lambda a, b: min(n, b * LEAF) - a * LEAF
+    open_ = [(0, -(-n // LEAF), np.full(reps, n))]
+    while open_:
+        lo, hi, total = open_.pop()
+        if hi <= first or lo >= last:
+            continue
+        if hi - lo == 1:
+            out[lo] = total
+            continue
         mid = (lo + hi) // 2
         left = np.random.default_rng([*seed, lo, hi]).binomial(total, wells(lo, mid) / wells(lo, hi))
-        lo, hi, total = (lo, mid, left) if block < mid else (mid, hi, total - left)
-    return total
+        open_ += [(lo, mid, left), (mid, hi, total - left)]
+    return out
 
 
 def _multiplicities(n: int, block: int, size: int, reps: int, seed: int, skip: int):
-    """Yield (first replicate, multiplicity matrix) for the wells of one block."""
-    m = min(size, n - block * size)
-    if n <= size:
-        rng = np.random.default_rng(seed)
-        for lo in range(0, skip * reps, STEP):
-            rng.integers(0, n, size=(min(STEP, skip * reps - lo), n))
-        for lo in range(0, reps, STEP):
-            k = min(STEP, reps - lo)
-            draw = rng.integers(0, n, size=(k, n)) + np.arange(k)[:, None] * n
-            yield lo, np.bincount(draw.reshape(-1), minlength=k * n).reshape(k, n)
-        return
-    totals = _block_totals(n, block, size, reps, [seed, skip])
-    rng = np.random.default_rng([seed, skip, block, 1])
+    """Yield (first replicate, multiplicity matrix) for the wells of one block of ``size``, a multiple of ``LEAF``."""
+    first, last = block * size // LEAF, min(-(-n // LEAF), (block + 1) * size // LEAF)
+    totals = _leaf_totals(n, first, last, reps, [seed, skip])
+    draws = {k: np.random.default_rng([seed, skip, k]) for k in range(first, last)}
     for lo in range(0, reps, STEP):
-        yield lo, rng.multinomial(totals[lo:lo + STEP], np.full(m, 1.0 / m))
+        yield lo, np.concatenate([draws[k].multinomial(totals[k][lo:lo + STEP], np.full(m, 1.0 / m))
+                                  for k in range(first, last) for m in [min(LEAF, n - k * LEAF)]], axis=1)
 
 
 def resample(suff: DataFrame, pairs: DataFrame, reps: int = BOOTSTRAP_REPS, seed: int = BOOTSTRAP_SEED,
              continued: bool = True, block: int = BLOCK) -> DataFrame:
     """Weighted statistics (scenario, pair_ord, A, B, side, init_seed, mask_seed, log, rep, ...).
 
-    ``pairs`` holds (scenario, pair_ord, A, B).  ``continued`` consumes one generator over
-    the pairs in ``pair_ord`` order; otherwise every pair restarts it.
+    ``pairs`` holds (scenario, pair_ord, A, B).  With ``continued`` every pair has a draw of its own; otherwise all
+    pairs share one.
     """
     wells = suff.select("scenario", "well").distinct()
     wells = ordinal(wells.withColumn("_slab", _order_slab(wells)), ["scenario"], "_slab", ["well"], "w_ord")
@@ -130,12 +128,7 @@ def delta_bootstrap(suff: DataFrame, pairs: DataFrame, metric: str = "macro", re
     with f = P(d>0), not below 1/reps.
     """
     key = ["scenario", "pair_ord", "A", "B"]
-    side = F.explode(F.array(F.struct(F.lit("A").alias("side"), F.col("A").alias("method")),
-                             F.struct(F.lit("B").alias("side"), F.col("B").alias("method"))))
-    want = pairs.select(*key, side.alias("_s")).select(*key, "_s.side", "_s.method")
-    whole = suff.join(want, ["scenario", "method"]).groupBy(*key, "side", "init_seed", "mask_seed", "log").agg(
-        *[F.sum(f).alias(f) for f in FIELDS[:4]])
-    point = _delta(_score(whole, [*key, "side"], metric), key)
+    point = delta_point(suff, pairs, metric)
     drawn = resample(suff, pairs, reps, seed, continued, block)
     deltas = _delta(_score(drawn, [*key, "side", "rep"], metric), [*key, "rep"])
     share = lambda c: F.avg(F.coalesce(c.cast("double"), F.lit(0.0)))
@@ -149,6 +142,17 @@ def delta_bootstrap(suff: DataFrame, pairs: DataFrame, metric: str = "macro", re
                                        p.alias("p_boot"))
 
 
+def delta_point(suff: DataFrame, pairs: DataFrame, metric: str = "macro") -> DataFrame:
+    """Score difference of every pair over all wells, without resampling."""
+    key = ["scenario", "pair_ord", "A", "B"]
+    side = F.explode(F.array(F.struct(F.lit("A").alias("side"), F.col("A").alias("method")),
+                             F.struct(F.lit("B").alias("side"), F.col("B").alias("method"))))
+    want = pairs.select(*key, side.alias("_s")).select(*key, "_s.side", "_s.method")
+    whole = suff.join(want, ["scenario", "method"]).groupBy(*key, "side", "init_seed", "mask_seed", "log").agg(
+        *[F.sum(f).alias(f) for f in FIELDS[:4]])
+    return _delta(_score(whole, [*key, "side"], metric), key)
+
+
 def r2_bootstrap(suff: DataFrame, cells: DataFrame, reps: int = 5000, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """95 % interval of the pooled R2 per (method, scenario).
 

@@ -8,7 +8,7 @@ physical values and only the "nothing observed" case needs the fold mean.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -120,19 +120,17 @@ def _physical(c: str, z: Column) -> Column:
     return z * F.col(f"sd_{c}") + F.col(f"mu_{c}")
 
 
-def ridge(c: str) -> Column:
-    """Ridge prediction from the two other channels at the same depth."""
-    a, b = others(c)
-    return _physical(c, F.col(f"w_{c}_{a}") * zscore(a) + F.col(f"w_{c}_{b}") * zscore(b))
+def chained(prefix: str, order: Sequence[int] = (0, 1, 2)) -> dict[str, Column]:
+    """One chained sweep: each missing channel is regressed on the current state of the others.
 
-
-def chained(order: Sequence[int] = (0, 1, 2)) -> dict[str, Column]:
-    """One chained sweep: each missing channel is regressed on the current state of the others."""
+    ``prefix`` names the weights, ``w`` for ridge and ``b`` for Bayesian ridge.  A predicted channel counts as its
+    prediction for the channels after it; one not reached yet counts as its training mean.
+    """
     state = {c: zscore(c) for c in COLS}
     for i in order:
         c = COLS[i]
         a, b = others(c)
-        fit = F.col(f"b_{c}_{a}") * state[a] + F.col(f"b_{c}_{b}") * state[b]
+        fit = F.col(f"{prefix}_{c}_{a}") * state[a] + F.col(f"{prefix}_{c}_{b}") * state[b]
         state[c] = F.when(_bit(i), fit).otherwise(state[c])
     return {c: _physical(c, z) for c, z in state.items()}
 
@@ -152,7 +150,7 @@ def predict(masked: DataFrame, fits: DataFrame, methods: Sequence[str], keys: Se
     df = df.where("mask_bits > 0").join(fits, "well")
     if "interp_pchip" in methods:
         df = add_slopes(df)
-    chain = chained() if "mice" in methods else {}
+    chain = {m: chained(p) for m, p in (("ridge", "w"), ("mice", "b")) if m in methods}
     cols = []
     for m in methods:
         for c in COLS:
@@ -163,8 +161,8 @@ def predict(masked: DataFrame, fits: DataFrame, methods: Sequence[str], keys: Se
                 "locf_win": lambda: F.coalesce(locf(c), mu),
                 "interp_linear": lambda: F.coalesce(interp_linear(c, order), mu),
                 "interp_pchip": lambda: F.coalesce(interp_pchip(c, order), mu),
-                "ridge": lambda: ridge(c),
-                "mice": lambda: chain[c],
+                "ridge": lambda: chain["ridge"][c],
+                "mice": lambda: chain["mice"][c],
             }[m]()
             cols.append(p.alias(f"p_{m}_{c}"))
     keep = [c for c in masked.columns if not c.startswith("x_")] + [c for c in ("config",) if c in fits.columns]
@@ -230,13 +228,3 @@ class PandasImputer:
 
         return packed.mapInPandas(run, out)
 
-
-def gated_neural(name: str) -> Callable[[], object]:
-    """Neural imputers need torch; without it this says so instead of inventing results."""
-    try:
-        import torch  # noqa: F401
-    except ImportError as err:
-        raise ImportError(
-            f"method {name!r} is a neural model and needs torch, which is not installed; "
-            "fit it elsewhere and wrap it in PandasImputer") from err
-    raise NotImplementedError(f"{name!r}: supply the trained torch module through PandasImputer")

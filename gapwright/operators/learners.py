@@ -30,7 +30,8 @@ def _regressor(kind: str, seed: int, **over):
 
 class TreeImputer:
     """``kind``: rf, xgb (fitted on intact rows), xgb_miss (fitted on corrupted predictors with
-    missing indicators), xgb_chain_asc / _desc (one chained sweep in channel order / reversed)."""
+    missing indicators), xgb_chain_asc / _desc (in channel order / reversed).  Every kind predicts the channels in turn and
+    reads its own predictions for the ones before.  ``rf`` stops at depth 30, the ceiling of Spark ML."""
 
     def __init__(self, kind: str = "rf", seed: int = 0, **over):
         if kind not in KINDS:
@@ -57,17 +58,15 @@ class TreeImputer:
         """Masked rows with ``p_<kind>_<log>`` in physical units."""
         keep = [c for c in masked.columns if not c.startswith("x_")]
         df = _with_scale(masked.where("mask_bits > 0"), scale_cols)
-        chain = self.kind.startswith("xgb_chain")
         order = COLS[::-1] if self.kind.endswith("desc") else COLS
         state = {c: f"x_{c}" for c in COLS}
         for c in order:
-            df = df.select("*", *_inputs(c, "x_", state if chain else None))
+            df = df.select("*", *_inputs(c, "x_", state))
             df = VectorAssembler(inputCols=self._features(c), outputCol="features").transform(df)
             df = self.models[c].transform(df).withColumn(f"p_{self.kind}_{c}", F.col("prediction") * F.col(f"sd_{c}") + F.col(f"mu_{c}"))
             df = df.drop("features", "prediction", *[f"{k}_{o}" for k in "fo" for o in others(c)])
-            if chain:
-                df = df.withColumn(f"s_{c}", F.coalesce(f"x_{c}", f"p_{self.kind}_{c}"))
-                state[c] = f"s_{c}"
+            df = df.withColumn(f"s_{c}", F.coalesce(f"x_{c}", f"p_{self.kind}_{c}"))
+            state[c] = f"s_{c}"
         return df.select(*keep, *[f"p_{self.kind}_{c}" for c in COLS])
 
 
@@ -76,7 +75,7 @@ def _inputs(c: str, prefix: str, state: dict[str, str] | None = None) -> list[Co
     for o in others(c):
         v = F.col(state[o] if state else f"{prefix}{o}")
         out += [F.coalesce((v - F.col(f"mu_{o}")) / F.col(f"sd_{o}"), F.lit(0.0)).alias(f"f_{o}"),
-                F.col(f"{prefix}{o}").isNotNull().cast("double").alias(f"o_{o}")]
+                v.isNotNull().cast("double").alias(f"o_{o}")]
     return out
 
 

@@ -11,10 +11,8 @@ Two sources of randomness give the same operator:
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +46,8 @@ def normalised(cooccur: Mapping[int, float] | None) -> list[tuple[int, float]]:
 
 
 def dataset_cooccur(cooccur_df: DataFrame) -> dict[int, float]:
-    """Measured K-distribution as a plain dict (three rows at most)."""
-    return {r["k"]: r["prob"] for r in cooccur_df.limit(len(LOGS)).collect()}
+    """Measured K-distribution as a plain dict: one row for each K from 1 to the number of channels."""
+    return {r["k"]: r["prob"] for r in cooccur_df.where(F.col("k").between(1, len(LOGS))).collect()}
 
 
 def mask_bits(df: DataFrame, scenarios: Sequence[str], size: int = WINDOW, n_points: int = N_POINTS,
@@ -136,76 +134,6 @@ def mask_summary(masked: DataFrame) -> DataFrame:
         F.min("t").alias("t_min"), F.max("t").alias("t_max")))
 
 
-# --- NumPy-exact streams ---------------------------------------------------------------
-
-def draw_specs(rng: np.random.Generator, scenario: str, n: int, size: int = WINDOW,
-               n_points: int = N_POINTS, lengths: Sequence[int] = BLOCK_LENGTHS,
-               fraction: tuple[float, float] = BLACKOUT_FRACTION,
-               cooccur: Mapping[int, float] | None = None, allow_full: bool = True) -> list[tuple]:
-    """Next ``n`` mask specs (cols, from, to, points) of one generator stream."""
-    _check(scenario)
-    c = len(LOGS)
-    table = normalised(cooccur)
-    ks, ps = np.array([k for k, _ in table]), np.array([p for _, p in table])
-    out = []
-    for _ in range(n):
-        if scenario == "blackout":
-            k = min(int(rng.choice(ks, p=ps)), c if allow_full else c - 1)
-            cols = sum(1 << int(j) for j in rng.choice(c, size=k, replace=False))
-            length = max(1, min(size, int(round(rng.uniform(*fraction) * size))))
-            s = int(rng.integers(0, size - length + 1))
-            out.append((cols, s, s + length, None))
-            continue
-        cols = 1 << int(rng.integers(0, c))
-        if scenario == "single":
-            out.append((cols, 0, 0, [int(v) for v in rng.integers(0, size, size=n_points)]))
-        elif scenario == "block":
-            length = min(int(rng.choice(np.atleast_1d(lengths))), size)
-            s = int(rng.integers(0, size - length + 1))
-            out.append((cols, s, s + length, None))
-        else:
-            out.append((cols, 0, size, None))
-    return out
-
-
-def pcg_specs(windows: DataFrame, scenarios: Iterable[str] = SCENARIOS, mask_seeds: Iterable[int] = (0,),
-              size: int = WINDOW, batch: int = 8192, **kw) -> DataFrame:
-    """Spec table of the NumPy streams, long enough for the well with the most windows.
-
-    One streaming task per (scenario, mask seed); memory is one batch.
-    """
-    cells = [(s, int(m), eval_seed(s, m)) for s in scenarios for m in mask_seeds]
-    need = windows.agg(F.coalesce(F.max("win_ord") + 1, F.lit(0)).alias("need"))
-    jobs = need.select("need", F.inline(F.array(*[
-        F.struct(F.lit(s).alias("scenario"), F.lit(m).alias("mask_seed"), F.lit(e).cast("bigint").alias("seed"))
-        for s, m, e in cells]))).repartition(len(cells), "scenario", "mask_seed")
-
-    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for job in frame.itertuples():
-                rng = np.random.default_rng(job.seed)
-                for lo in range(0, job.need, batch):
-                    n = min(batch, job.need - lo)
-                    rows = draw_specs(rng, job.scenario, n, size, **kw)
-                    out = pd.DataFrame(rows, columns=["mask_cols", "mask_from", "mask_to", "mask_points"])
-                    out.insert(0, "win_ord", np.arange(lo, lo + n))
-                    out.insert(0, "mask_seed", job.mask_seed)
-                    out.insert(0, "scenario", job.scenario)
-                    yield out
-
-    return jobs.mapInPandas(stream, SPEC_SCHEMA)
-
-
-def apply_specs(ws: DataFrame, windows: DataFrame, specs: DataFrame) -> DataFrame:
-    """As :func:`apply_masks`, with masks taken from a spec table."""
-    planned = windows.join(specs, "win_ord").drop("win_ord")
-    joined = ws.join(planned, ["well", "start"])
-    inside = F.when(F.col("mask_points").isNotNull(), F.array_contains("mask_points", F.col("t"))).otherwise(
-        (F.col("t") >= F.col("mask_from")) & (F.col("t") < F.col("mask_to")))
-    return with_inputs(joined.select(
-        *ws.columns, "scenario", "mask_seed", F.when(inside, F.col("mask_cols")).otherwise(0).alias("mask_bits")))
-
-
 # --- random orders over windows ----------------------------------------------------------
 
 def shuffled(windows: DataFrame, seed: int, salt: int, name: str = "pos", buckets: int = ORDER_BUCKETS) -> DataFrame:

@@ -349,25 +349,27 @@ def _gamma(d, r):
     return 1.0 - np.exp(-d / r)
 
 
-def _idw(d, v):
-    w = 1.0 / np.maximum(d, IDW_MIN_KM) ** 2
-    return float(w @ v / w.sum())
-
-
-def _krige_one(dist, d, v, r):
-    """Ordinary kriging of one point; inverse distance when the system cannot be solved."""
-    n = len(v)
-    if n >= 3:
-        system = np.ones((n + 1, n + 1))
-        system[:n, :n] = _gamma(dist, r)
-        system[n, n] = 0.0
-        try:
-            lam = np.linalg.solve(system, np.append(_gamma(d, r), 1.0))[:n]
-            if np.all(np.isfinite(lam)):
-                return float(lam @ v)
-        except np.linalg.LinAlgError:
-            pass
-    return _idw(d, v)
+def _weighted(near: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Inverse-square-distance means, one row of ``near`` per target."""
+    pull = np.maximum(near, IDW_MIN_KM) ** -2.0
+    return pull @ values / pull.sum(axis=1)
+
+
+def _kriged(sources: np.ndarray, near: np.ndarray, values: np.ndarray, reach: float) -> np.ndarray:
+    """Ordinary kriging of all targets (rows of ``near``) in one solve; a target without a finite solution takes the
+    inverse-distance mean."""
+    plain = _weighted(near, values)
+    if len(values) < 3 or not np.isfinite(reach):
+        return plain
+    border = np.pad(_gamma(sources, reach), ((0, 1), (0, 1)), constant_values=1.0)
+    border[-1, -1] = 0.0
+    right = np.vstack([_gamma(near, reach).T, np.ones(len(near))])
+    try:
+        weights = np.linalg.solve(border, right)[:-1]
+    except np.linalg.LinAlgError:
+        return plain
+    got = values @ weights
+    return np.where(np.isfinite(weights).all(axis=0), got, plain)
 
 
 def _krige_left_out(dist, v, r):
@@ -426,7 +428,7 @@ def kriging(targets: DataFrame, grid: DataFrame, coords: DataFrame, ranges: Data
                         pred[j] = cache[r][i]
                         continue
                 d = np.hypot(xy[others, 0] - x / 1000.0, xy[others, 1] - y / 1000.0)
-                pred[j] = (_krige_one(dist[np.ix_(others, others)], d, v[others], r) if np.isfinite(r) else _idw(d, v[others]))
+                pred[j] = _kriged(dist[np.ix_(others, others)], d[None, :], v[others], r)[0]
             out[f"p_{c}"] = pred
         return out
 

@@ -211,13 +211,6 @@ def mask_blackout_emp(spark, d):
     return em.plan_masks(tb.well_samples(spark, d))
 
 
-@query
-def mask_pcg64(spark, d):
-    s = tb.well_samples(spark, d)
-    w = wn.intact_windows(s)
-    return mk.mask_summary(mk.apply_specs(wn.window_samples(s), w, mk.pcg_specs(w, SCENARIOS, SEEDS)))
-
-
 @query
 def training_mask(spark, d):
     s = tb.well_samples(spark, d)
@@ -437,18 +430,18 @@ def spearman(spark, d):
 
 @query
 def bootstrap_delta(spark, d):
-    return rnd(bs.delta_bootstrap(_suff(spark, d), sg.pair_table(spark, PAIRS), reps=200), delta=6, ci_lo=6, ci_hi=6, p_boot=6)
+    return rnd(bs.delta_bootstrap(_suff(spark, d), sg.pair_table(spark, PAIRS)), delta=6, ci_lo=6, ci_hi=6, p_boot=6)
 
 
 @query
 def bootstrap_r2(spark, d):
     cells = spark.createDataFrame([(s, m, i) for m in METHODS for i, s in enumerate(SCENARIOS)], "scenario string, method string, pair_ord int")
-    return rnd(bs.r2_bootstrap(_suff(spark, d, seeds=(0,)), cells, reps=200), r2=6, ci_low=6, ci_high=6, boot_mean=6, boot_sd=6)
+    return rnd(bs.r2_bootstrap(_suff(spark, d, seeds=(0,)), cells), r2=6, ci_low=6, ci_high=6, boot_mean=6, boot_sd=6)
 
 
 @query
 def bootstrap_point(spark, d):
-    return rnd(bs.delta_bootstrap(_suff(spark, d), sg.pair_table(spark, PAIRS), reps=50).select("scenario", "A", "B", "delta"), delta=6)
+    return rnd(bs.delta_point(_suff(spark, d), sg.pair_table(spark, PAIRS)).select("scenario", "A", "B", "delta"), delta=6)
 
 
 @query

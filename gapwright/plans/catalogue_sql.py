@@ -186,13 +186,15 @@ def predicted(name: str, src: str, methods=METHODS) -> str:
     cte(f"{name}_n", f"{src} fits", f"""SELECT n.*, f.* EXCLUDE (well) FROM (SELECT *, {nb} FROM {src} WINDOW f AS (PARTITION BY {cell} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
       a AS (PARTITION BY {cell} ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) n JOIN fits f ON n.well = f.well WHERE mask_bits > 0""")
     parts = []
+    state = {c: f"coalesce((x_{c} - mu_{c}) / sd_{c}, 0.0)" for c in COLS}
     for i, c in enumerate(COLS):
         a, b = [o for o in COLS if o != c]
-        z = lambda o: f"coalesce((x_{o} - mu_{o}) / sd_{o}, 0.0)"
+        fit = f"(w_{c}_{a} * {state[a]} + w_{c}_{b} * {state[b]})"
+        state[c] = f"(CASE WHEN mask_bits & {1 << i} > 0 THEN {fit} ELSE {state[c]} END)"     # seen by the channels after it
         lin = (f"coalesce(CASE WHEN by_{c} IS NOT NULL AND ay_{c} IS NOT NULL THEN by_{c} + (ay_{c} - by_{c}) * (t - bt_{c}) / (at_{c} - bt_{c})::DOUBLE "
                f"ELSE coalesce(by_{c}, ay_{c}) END, mu_{c})")
         expr = {"mean": f"mu_{c}", "locf": f"coalesce(by_{c}, mu_{c})", "locf_win": f"coalesce(by_{c}, mu_{c})", "interp_linear": lin,
-                "ridge": f"(w_{c}_{a} * {z(a)} + w_{c}_{b} * {z(b)}) * sd_{c} + mu_{c}"}
+                "ridge": f"{fit} * sd_{c} + mu_{c}"}
         parts += [f"SELECT {cell}, t, '{m}' AS method, '{c.upper()}' AS log, {expr[m]} AS pred, {c} AS truth FROM {name}_n WHERE mask_bits & {1 << i} > 0" for m in methods]
     cte(name, f"{name}_n", " UNION ALL ".join(parts))
     return name

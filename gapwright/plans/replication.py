@@ -15,7 +15,7 @@ from .evaluation import evaluate
 
 def replicate(samples: DataFrame, path: str, methods: Sequence[str], seeds: Sequence[int], mask_seeds: Sequence[int] | None = None,
               scenarios: Sequence[str] = SCENARIOS, **kw) -> int:
-    """Score every missing (init seed, mask seed, method) cell and store its points.
+    """Score every missing (init seed, mask seed, scenario, method) cell and store its points.
 
     ``mask_seeds`` decouples the evaluation masks from the init seed.  Cells found in the
     store are skipped; a partition appears only when its write has committed, so rerunning
@@ -28,9 +28,10 @@ def replicate(samples: DataFrame, path: str, methods: Sequence[str], seeds: Sequ
     written = 0
     for s in seeds:
         for m in (mask_seeds if mask_seeds is not None else [s]):
-            todo = [x for x in methods if (s, m, x) not in done]
-            if todo:
-                pts = evaluate(samples, todo, scenarios, (m,), **kw).withColumn("init_seed", F.lit(int(s)))
+            missing = {c: [x for x in methods if (s, m, c, x) not in done] for c in scenarios}
+            for todo in sorted({tuple(v) for v in missing.values() if v}):       # scenarios that lack the same methods run together
+                cells = [c for c in scenarios if tuple(missing[c]) == todo]
+                pts = evaluate(samples, list(todo), cells, (m,), **kw).withColumn("init_seed", F.lit(int(s)))
                 write_pool(pts, path)
-                written += len(todo)
+                written += len(todo) * len(cells)
     return written

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LOGS, ORDER
 from ..functions.ranks import exact_percentiles
+from ..operators.masking import _with_scalar
 from ..operators.metrics import CELL, macro_r2, merge_stats, nrmse_per_well, pooled_from_stats, r2_from_stats
 from ..operators.significance import mean_sd_ci, seed_average
 
@@ -134,10 +135,11 @@ def fold_label(fold: str = "fold"):
 
 def histogram(samples: DataFrame, bins: int = 80) -> DataFrame:
     """Equal-width histogram of every channel between its own minimum and maximum."""
-    long = samples.select(F.inline(F.array(*[F.struct(F.lit(lg).alias("log"), F.col(lg.lower()).alias("v")) for lg in LOGS]))).where("v IS NOT NULL")
-    box = long.groupBy("log").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    box = samples.agg(*[f(lg.lower()).alias(f"{n}_{lg}") for lg in LOGS for n, f in (("lo", F.min), ("hi", F.max))])
+    long = _with_scalar(samples, box).select(F.inline(F.array(*[
+        F.struct(F.lit(lg).alias("log"), F.col(lg.lower()).alias("v"), F.col(f"lo_{lg}").alias("lo"), F.col(f"hi_{lg}").alias("hi")) for lg in LOGS])))
     pos = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-    return (long.join(box, "log").withColumn("bin", F.least(F.coalesce(pos, F.lit(0)), F.lit(bins - 1)).cast("int"))
+    return (long.where("v IS NOT NULL").withColumn("bin", F.least(F.coalesce(pos, F.lit(0)), F.lit(bins - 1)).cast("int"))
             .groupBy("log", "bin").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -154,10 +156,10 @@ def pairwise_corr(samples: DataFrame) -> DataFrame:
 def hexbin(samples: DataFrame, a: str, b: str, gridsize: int = 60) -> DataFrame:
     """Hexagonal bin counts of two channels: two offset lattices, each point in the nearer cell."""
     x, y = a.lower(), b.lower()
-    df = samples.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y")).withColumn("_g", F.lit(0))
-    box = df.groupBy("_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    df = samples.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    box = df.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     nx, ny = gridsize, int(gridsize / 3 ** 0.5)
-    d = df.join(box, "_g").select(((F.col("x") - F.col("x0")) / ((F.col("x1") - F.col("x0")) / nx)).alias("u"),
+    d = _with_scalar(df, box).select(((F.col("x") - F.col("x0")) / ((F.col("x1") - F.col("x0")) / nx)).alias("u"),
                                   ((F.col("y") - F.col("y0")) / ((F.col("y1") - F.col("y0")) / ny)).alias("v"))
     d = d.select("u", "v", F.bround("u").alias("i1"), F.bround("v").alias("j1"), F.floor("u").alias("i2"), F.floor("v").alias("j2"))
     d1 = F.pow(F.col("u") - F.col("i1"), 2) + 3 * F.pow(F.col("v") - F.col("j1"), 2)

@@ -67,6 +67,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists in whatever file system it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table beside the checkpoints."""
     return os.path.join(checkpoint_dir(spark), name)

@@ -82,6 +82,8 @@ def test_replication_resumes(spark, sf, tmp_path):
     p = store.read_pool(spark, path)
     assert {r.method for r in p.select("method").distinct().collect()} == {"mean", "locf"}
     assert p.groupBy("method").count().select("count").distinct().count() == 1
+    assert replicate(s, path, ["mean", "locf"], [0], scenarios=["block", "single"]) == 2          # a scenario added later
+    assert {r.scenario for r in store.read_pool(spark, path).select("scenario").distinct().collect()} == {"block", "single"}
 
 
 def test_shards_keep_last(spark, tmp_path):
@@ -96,6 +98,17 @@ def test_shards_keep_last(spark, tmp_path):
     assert got == {("mean", 0): 0.1, ("mean", 1): 0.9, ("locf", 0): 0.5}
 
 
+def test_shards_fail_when_the_table_cannot_be_read(spark, tmp_path):
+    src, out = tmp_path / "raw", tmp_path / "table"
+    src.mkdir()
+    out.mkdir()
+    (out / "part-0.parquet").write_text("not a parquet file")
+    (src / "a.csv").write_text("seed,method,scenario,fold,log,r2,mae\n0,mean,block,0,GR,0.1,1\n")
+    with pytest.raises(Exception):
+        consolidate(spark, str(src), str(out), str(tmp_path / "state")).awaitTermination()
+    assert (out / "part-0.parquet").exists()
+
+
 def test_documents_and_settings(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([("mean_x", -0.5, True), ("locf", None, False)], "method string, r2 double, best boolean")
     assert "| mean_x | -0.500 |" in store.markdown_table(df, ["method", "r2"])
@@ -105,8 +118,8 @@ def test_documents_and_settings(spark, tmp_path, monkeypatch):
     assert files.resolve("data_dir", root="/r") == "/r/data/processed"
     monkeypatch.setenv("GAPWRIGHT_DATA_DIR", "/env")
     assert files.resolve("data_dir") == "/env" and files.resolve("data_dir", "/arg") == "/arg"
-    meta = store.run_metadata(str(tmp_path / "m" / "run.json"), seeds=[0])
-    assert json.loads((tmp_path / "m" / "run.json").read_text())["seeds"] == [0] and "utc" in meta
+    store.run_metadata(spark, str(tmp_path / "m"), seeds=[0])
+    assert spark.read.json(str(tmp_path / "m")).first()["settings"]["seeds"] == "[0]"
 
 
 def test_error_stats_label_check(spark, tmp_path):
@@ -116,9 +129,3 @@ def test_error_stats_label_check(spark, tmp_path):
     (tmp_path / "bad.csv").write_text(head + "mean,block,0,0,0,GR,0,W07,2,1,1,1,1\n")
     with pytest.raises(Exception, match="does not match"):
         files.read_error_stats(spark, str(tmp_path / "bad.csv")).collect()
-
-
-def test_synthetic_wells(spark):
-    s = files.synthetic_wells(spark, 2, 300)
-    r = s.agg(F.count("*"), F.min("gr"), F.max("rhob")).first()
-    assert r[0] == 600 and r[1] >= 1.0 and r[2] <= 3.05

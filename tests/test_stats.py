@@ -89,12 +89,11 @@ def test_friedman_wilcoxon_direction(spark, points):
     assert a.rank_biserial == -1.0 and b.rank_biserial == 1.0 and a.W_stat == 0 and a.p == pytest.approx(2 / 2 ** 7)
 
 
-def test_bootstrap_matches_the_plain_generator(spark, points):
+def test_bootstrap_matches_sums_over_its_draws(spark, points):
     suff = mt.sufficient_stats(points).persist()
     pairs = sg.pair_table(spark, {"profile": [("locf", "mean"), ("mice", "stgnn")]})
     got = {(r.A, r.B): r for r in bs.delta_bootstrap(suff, pairs, reps=60, seed=11).collect()}
     pdf = suff.toPandas()
-    rng = np.random.default_rng(11)
 
     def macro(m, s, wts):
         out = []
@@ -104,18 +103,21 @@ def test_bootstrap_matches_the_plain_generator(spark, points):
             out.append(1 - a[3] / (a[2] - a[1] ** 2 / a[0]))
         return np.mean(out)
 
-    for a, b in (("locf", "mean"), ("mice", "stgnn")):
+    for k, (a, b) in enumerate((("locf", "mean"), ("mice", "stgnn"))):
         d = []
-        for _ in range(60):
-            w = np.bincount(rng.choice(np.arange(7), 7), minlength=7).astype(float)
+        for w in next(bs._multiplicities(7, 0, bs.BLOCK, 60, 11, k))[1].astype(float):
+            assert w.sum() == 7
             d.append(np.mean([macro(a, s, w) - macro(b, s, w) for s in (0, 1)]))
         lo, hi = np.percentile(d, [2.5, 97.5])
         assert got[a, b].ci_lo == pytest.approx(lo, rel=1e-9) and got[a, b].ci_hi == pytest.approx(hi, rel=1e-9)
 
 
 def test_bootstrap_blocks_split_the_draw_exactly():
-    n, size, reps = 23, 5, 400
-    whole = np.concatenate([np.concatenate([w for _, w in bs._multiplicities(n, b, size, reps, 4, 0)]) for b in range(5)], axis=1)
+    n, reps = 300, 400
+    parts = {size: np.concatenate([np.concatenate([w for _, w in bs._multiplicities(n, b, size, reps, 4, 0)]) for b in range(-(-n // size))], axis=1)
+             for size in (64, 128, 4096)}
+    whole = parts[64]
+    assert all((p == whole).all() for p in parts.values())          # the same draw however wells are cut into tasks
     assert whole.shape == (reps, n) and (whole.sum(1) == n).all()
     assert whole.mean() == pytest.approx(1.0) and whole.var() == pytest.approx(1 - 1 / n, abs=0.05)
 
