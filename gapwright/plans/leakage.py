@@ -123,8 +123,14 @@ def _prefix_fits(pos: DataFrame, cuts: DataFrame) -> DataFrame:
         edges.select(F.col("cut").alias("pos"), *[F.lit(0).alias(m) for m in MOMENTS]), allowMissingColumns=True))
     slab = tagged.withColumn("_slab", F.expr("pos div 1024"))
     per = slab.groupBy("_slab").agg(*[F.sum(m).alias(m) for m in MOMENTS])
-    before = Window.partitionBy(F.lit(0)).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("_slab", *[F.coalesce(F.sum(m).over(before), F.lit(0.0)).alias(f"t_{m}") for m in MOMENTS])
+    # sums of what lies before: inside groups of 1,024 slabs, and over one row per group (a million windows each)
+    inner = Window.partitionBy("_group").orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_group", F.expr("_slab div 1024"))
+    ahead = per.groupBy("_group").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+    ahead = ahead.select("_group", *[F.coalesce(F.sum(m).over(outer), F.lit(0.0)).alias(f"a_{m}") for m in MOMENTS])
+    per = per.select("_group", "_slab", *[F.coalesce(F.sum(m).over(inner), F.lit(0.0)).alias(m) for m in MOMENTS])
+    per = per.join(ahead, "_group").select("_slab", *[(F.col(m) + F.col(f"a_{m}")).alias(f"t_{m}") for m in MOMENTS])
     part = (pos.withColumn("_slab", F.expr("pos div 1024"))
             .join(edges.withColumn("_slab", F.expr("cut div 1024")), "_slab").where("pos < cut")
             .groupBy("cut").agg(*[F.sum(m).alias(f"i_{m}") for m in MOMENTS]))
