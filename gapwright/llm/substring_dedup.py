@@ -314,8 +314,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` as the struct ``__row`` with n_bytes, n_removed, n_spans, kept (binary) and its SHA-256."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    """Rows of ``docs`` without their text as the struct ``__row`` with n_bytes, n_removed, n_spans, kept (binary) and its SHA-256."""
+    row = F.struct(F.col(id_col), *(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text)))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     base = docs.select(row.alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"),
                        F.crc32(raw).alias("crc"), raw.alias("__text"))
