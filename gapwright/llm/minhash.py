@@ -8,8 +8,9 @@ are confirmed on full sets.
 
 * Documents with equal sets form one class; only its smallest id takes part in the search.
 * A bucket of equal band keys is compared with one hub first.  Once confirmed links have joined components, only members
-  outside a bucket's largest component are compared with the rest of it, so no pair between components stays unseen and
-  a group of copies never turns into all its pairs.
+  outside a bucket's largest component are compared with the rest of it, exactly and in blocks of 128 by 128 sets that
+  give back one link per document and component.  No pair between components stays unseen, and a group of copies never
+  turns into rows for all its pairs.
 * A pair at exactly 0.75 misses all 32 bands with probability 5e-6; the estimate's cut-off lies six deviations below.
 
 Null or wordless texts have no set and link with nothing.  Rows with a null id are returned unlinked.  Rows that repeat
@@ -32,6 +33,7 @@ from gapwright.session import cut_lineage
 WIDTH = 5                   # words in a shingle
 PERMS, ROWS, BITS = 128, 4, 2
 SLACK = 0.28                # six standard deviations of the corrected estimate at 0.75
+BLOCK = 128                 # sets on either side of one exact comparison of blocks
 
 _DRAW = np.random.default_rng(20240607)
 _MUL = (_DRAW.integers(0, 2 ** 32, PERMS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -108,6 +110,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
 
 
+def _between(percent: int):
+    """Links between two blocks of one bucket: at most one for each left document and right component."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, comps = (right.column(c).to_numpy() for c in ("y_id", "y_comp"))
+        parts = [np.frombuffer(v, np.uint64) for v in right.column("y_set").to_pylist()]
+        n = np.array([len(p) for p in parts], np.int64)
+        found: set[tuple[int, int]] = set()
+        if len(parts) and left.num_rows:
+            values, at = np.concatenate(parts), np.concatenate([[0], np.cumsum(n)])
+            for a, comp, raw in zip(left.column("x_id").to_pylist(), left.column("x_comp").to_pylist(), left.column("x_set").to_pylist()):
+                own = np.frombuffer(raw, np.uint64)
+                hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+                both = np.diff(np.concatenate([[0], np.cumsum(hit)])[at])
+                link = np.flatnonzero((comps != comp) & (100 * both >= percent * (n + len(own) - both)))
+                for k in link[np.unique(comps[link], return_index=True)[1]]:
+                    found.add((a, int(ids[k])))
+        a, b = zip(*sorted(found)) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
 def _confirm(numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,11 +201,16 @@ class Linker:
         x, y = F.col(left + "n"), F.col(right + "n")
         return (100 * F.least(x, y) >= self.percent * F.greatest(x, y)) & (estimate(left, right) >= self.percent / 100 - SLACK)
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """Full sets of the given documents."""
+        wanted = ids.select(F.col("id").alias("__id")).distinct()
+        return cut_lineage(self.docs.join(wanted, "__id", "left_semi").select("__id", "__text").mapInArrow(_sets, "id bigint, set binary"))
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Pairs confirmed on full sets."""
         pairs = cut_lineage(pairs)
         wanted = pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))).distinct()
-        sets = cut_lineage(self.docs.join(wanted, "__id", "left_semi").select("__id", "__text").mapInArrow(_sets, "id bigint, set binary"))
+        sets = self.sets(wanted.withColumnRenamed("__id", "id"))
         both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
                 .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"))
         return cut_lineage(both.mapInArrow(_confirm(self.percent, 100), "a bigint, b bigint").distinct())
@@ -195,26 +223,25 @@ class Linker:
         buckets = cut_lineage(keyed.join(shared, "key"))
         spokes = buckets.filter(F.col("id") != F.col("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
         links = self.confirm(self.likely(spokes))
-        for last in (False, True):
-            comp = components(links)
-            members = cut_lineage(buckets.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
-            mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key")
-            open_ = cut_lineage(members.join(cut_lineage(mixed), "key"))
-            main = cut_lineage(open_.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key")
-                               .agg(F.max_by("comp", F.struct("k", "comp")).alias("main")))
-            rest = open_.join(main, "key").filter(F.col("comp") != F.col("main")).select("key", "id", "comp")
-            if not last:                              # stars inside what the first hubs left over
-                hubs = cut_lineage(rest.groupBy("key").agg(F.min("id").alias("b")))
-                more = rest.join(hubs, "key").filter(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b").distinct()
-                more = self.likely(more)
-            else:
-                sig = self.nodes.select("id", "n", *SIGNATURE)
-                x = rest.join(sig, "id").select(*(F.col(c).alias(f"x_{c}") for c in ["key", "comp", "id", "n", *SIGNATURE]))
-                y = open_.join(sig, "id").select(*(F.col(c).alias(f"y_{c}") for c in ["key", "comp", "id", "n", *SIGNATURE]))
-                more = (x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_comp") != F.col("y_comp")) & self._possible("x_", "y_"))
-                        .select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct())
-            links = cut_lineage(links.unionByName(self.confirm(more)).distinct())
-        return links
+        members = buckets.join(components(links), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        members = cut_lineage(members)
+        sizes = (members.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key")
+                 .agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("in_main"))
+                 .filter(F.col("all") > F.col("in_main"))
+                 .select("key", "main", F.ceil(F.col("all") / BLOCK).alias("n_y"),
+                         F.ceil((F.col("all") - F.col("in_main")) / BLOCK).alias("n_x")))
+        dealt = cut_lineage(members.join(cut_lineage(sizes), "key"))
+        sets = self.sets(dealt.select("id"))
+        row = F.xxhash64("id")
+        x = (dealt.filter(F.col("comp") != F.col("main")).withColumn("bx", F.pmod(row, F.col("n_x")))
+             .withColumn("by", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_y") - 1))))
+        y = (dealt.withColumn("by", F.pmod(row, F.col("n_y")))
+             .withColumn("bx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_x") - 1))))
+        cell = ["key", "bx", "by"]
+        x, y = (t.join(sets, "id").select(*(F.col(c).alias(side + c) for c in [*cell, "id", "comp", "set"]))
+                .groupBy(*(side + c for c in cell)) for side, t in (("x_", x), ("y_", y)))
+        more = x.cogroup(y).applyInArrow(_between(self.percent), "a bigint, b bigint")
+        return cut_lineage(links.unionByName(more).distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
