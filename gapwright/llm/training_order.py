@@ -1,6 +1,6 @@
 """Training-order materialisation: token sequences of fixed length in a keyed random order, in fixed-stride shards.
 
-1. Every document becomes piece ids (two bytes each) and an end mark; the stream of all documents in input order is cut
+1. Every document becomes ids of a byte-level vocabulary (two bytes each) and an end mark; the stream of all documents in input order is cut
    into sequences of ``length`` tokens, the last one padded with the end mark.
 2. Sequence s goes to slot P(s): a Feistel network keyed by ``key`` permutes the next even power of two, and walking its
    cycle until the value is below the number of sequences makes that a permutation of exactly these.
@@ -15,20 +15,25 @@ ids are as good as others; extra columns are not read; an empty table gives no r
 
 from __future__ import annotations
 
+import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm.batches import flat, pieces, texts_of
-from gapwright.llm.sentencepiece_bpe import BATCH_BYTES, DEFAULT_MODEL, encode_texts, vocabulary
+from gapwright.llm.batches import pieces, texts_of
 from gapwright.session import cut_lineage
 
 LENGTH, SHARD_ROWS, KEY = 2048, 4096, 20240607
-END = 2                     # </s> of the vocabulary
+DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+END = 50256                 # free in the vocabulary
+# Fixed value: the pattern that goes with the vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ROUNDS = 6
 
 
@@ -55,17 +60,23 @@ def permuted(values: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _encode(model_file: str):
+@functools.lru_cache(maxsize=2)
+def encoding(ranks_file: str) -> tiktoken.Encoding:
+    """One encoder per Python worker."""
+    with open(ranks_file, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _encode(ranks_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model_file)
+        encode = encoding(ranks_file).encode_ordinary
         pack = zstandard.ZstdCompressor(level=1)
-        with np.errstate(over="ignore"):
-            for batch in pieces(batches, "__text", BATCH_BYTES):
-                ids, at = flat(encode_texts(v, texts_of(batch.column("__text"))))
-                n = np.diff(at)
-                stream = np.insert(ids.to_numpy().astype("<u2"), at[1:], END)
-                yield pa.RecordBatch.from_arrays([pa.array([len(n) + int(n.sum())], pa.int64()), pa.array([pack.compress(stream.tobytes())], pa.binary())],
-                                                 ["n", "stream"])
+        for batch in pieces(batches, "__text"):
+            parts = [np.array([*encode(t.as_py()), END], "<u2") for t in texts_of(batch.column("__text"))]
+            stream = np.concatenate(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([len(stream)], pa.int64()), pa.array([pack.compress(stream.tobytes())], pa.binary())],
+                                             ["n", "stream"])
     return run
 
 
@@ -125,10 +136,10 @@ def _records(done: list[tuple], length: int, shard_rows: int, pad: bytes) -> Ite
 
 
 def ordered(docs: DataFrame, text: str = "text", length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY,
-            model_file: str = DEFAULT_MODEL) -> DataFrame:
+            ranks_file: str = DEFAULT_RANKS) -> DataFrame:
     """One row per sequence in training order: shard, slot, sequence (its place in the stream), byte_offset in the shard
     file, n_tokens before padding, tokens (little-endian 16-bit ids)."""
-    stream = cut_lineage(docs.select(F.col(text).alias("__text")).mapInArrow(_encode(model_file), "n bigint, stream binary")
+    stream = cut_lineage(docs.select(F.col(text).alias("__text")).mapInArrow(_encode(ranks_file), "n bigint, stream binary")
                          .withColumn("part", F.spark_partition_id()))
     sums = {r["part"]: r["n"] for r in stream.groupBy("part").agg(F.sum("n").alias("n")).collect()}   # one per input partition
     bases, total = {}, 0
