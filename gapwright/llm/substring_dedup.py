@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,11 +168,26 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["anchor", "content", "id", "crc", "run"])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with compressed texts, for the shuffle that brings them to their runs."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        packed = pa.array([pack(t) for t in batch.column("__text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([packed if n == "__text" else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in pieces(batches, "__text", BLOCK):
+        texts = pa.array([unpack(t) for t in batch.column("__text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([texts if n == "__text" else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of every open run."""
-    for batch in pieces(batches, "__text", BLOCK):
+    for batch in _unpacked(batches):
         ids, crcs, out_run, out_bytes = [], [], [], []
-        texts = batch.column("__text").cast(pa.binary())
+        texts = batch.column("__text")
         for i, c, t, open_ in zip(ids_of(batch.column("__id")).tolist(), batch.column("crc").to_pylist(), texts, batch.column("open").to_pylist()):
             t = t.as_buffer()
             for r in open_:
@@ -268,7 +284,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<bigint>")
     opened = (lists.select("id", "crc", "single").join(cut_lineage(twins), ["id", "crc"], "left")
               .select(F.col("id").alias("__id"), "crc", F.concat("single", F.coalesce("also", none)).alias("open")).filter(F.size("open") > 0))
-    contexts = cut_lineage(docs.join(opened, ["__id", "crc"]).select("__id", "crc", "__text", "open").dropDuplicates(["__id", "crc"])
+    contexts = cut_lineage(docs.mapInArrow(_pack, docs.schema).join(opened, ["__id", "crc"]).select("__id", "crc", "__text", "open").dropDuplicates(["__id", "crc"])
                            .mapInArrow(_contexts, "id bigint, crc bigint, run bigint, bytes binary")
                            .withColumn("cid", F.monotonically_increasing_id()))
     hit = _border_windows(contexts.select("cid", "run", "bytes"))
@@ -299,10 +315,9 @@ def _cut(text: bytes, spans: list[int]) -> tuple[bytes, int, int]:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "__text", 4 * BLOCK):
+    for batch in _unpacked(batches):
         n, removed, stretches, kept = [], [], [], []
-        for t, spans in zip(batch.column("__text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
-            t = t or b""
+        for t, spans in zip(batch.column("__text").to_pylist(), batch.column("spans").to_pylist()):
             k, r, s = _cut(t, spans or [])
             n.append(len(t))
             removed.append(r)
@@ -321,7 +336,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
                        F.crc32(raw).alias("crc"), raw.alias("__text"))
     spans = cut_lineage(repeated_runs(base.select("__id", "crc", "__text")))
     kind = base.schema["__row"].dataType.simpleString()
-    return base.join(spans, ["__id", "crc"], "left").select("__row", "__text", "spans").mapInArrow(
+    return base.mapInArrow(_pack, base.schema).join(spans, ["__id", "crc"], "left").select("__row", "__text", "spans").mapInArrow(
         _finish, f"__row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
 
 
