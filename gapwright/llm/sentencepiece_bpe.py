@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-Per batch the distinct words of all texts are concatenated and their suffixes sorted as far as the longest piece.  Every
-piece of the vocabulary is then found by binary search as a range of that order; its occurrences are edges
-(start, end, piece).  Edges are sorted by start and relaxed from left to right: an edge is taken when its start was
+Per batch the distinct words of all texts are concatenated and their suffixes sorted by their first 8 letters (4 in batches
+with over 255 kinds of letters).  Every piece of the vocabulary is then found by binary search as a range of that order;
+longer pieces keep the places of their range where their other letters fit.  Occurrences are edges (start, end, piece).  Edges are sorted by start and relaxed from left to right: an edge is taken when its start was
 reached and its piece can follow the piece that reached it, that is when the merges of the two pieces put side by side
 would not have crossed their border earlier.  For a BPE vocabulary exactly one edge survives per reached position, and
 following the survivors back from the end of a word gives the very ids that merging by score gives.
@@ -31,6 +31,7 @@ from gapwright.llm.batches import coded, flat, pieces, ragged, texts_of
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BATCH_BYTES = 6 << 20
+SEEN_WORDS = 400_000
 
 
 class Vocabulary:
@@ -40,6 +41,7 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = sp.get_piece_size()
         self.size = n
+        self.seen = Seen()
         raw = [sp.id_to_piece(i) for i in range(n)]
         self.byte_id = np.zeros(256, np.int64)
         normal = []
@@ -76,6 +78,8 @@ class Vocabulary:
         pairs.sort()
         self.pair_key = np.array([a for a, _ in pairs], np.int64)
         self.pair_rank = np.array([b for _, b in pairs], np.int64)
+        self.maybe = np.zeros(1 << 20, bool)                  # hashes of the pairs: most looked up are in none
+        self.maybe[_slot(self.pair_key)] = True
         # match tables
         self.ids = np.array(usable, np.int64)
         text = [raw[i] for i in usable]
@@ -116,9 +120,10 @@ class Vocabulary:
         while len(live):
             x, y = a[live], b[live]
             key = x * (self.size + 1) + y
-            at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-            merge = np.where(self.pair_key[at] == key, self.pair_rank[at], np.iinfo(np.int64).max)
-            bad = merge < limit[live]
+            some = np.flatnonzero(self.maybe[_slot(key)])
+            at = np.minimum(np.searchsorted(self.pair_key, key[some]), len(self.pair_key) - 1)
+            bad = np.zeros(len(live), bool)
+            bad[some] = (self.pair_key[at] == key[some]) & (self.pair_rank[at] < limit[live[some]])
             ok[live[bad]] = False
             rx, ry = self.rank[x], self.rank[y]
             go = ~bad & ((rx >= 0) | (ry >= 0))
@@ -131,6 +136,10 @@ class Vocabulary:
         return ok
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
 def _packed(codes: np.ndarray) -> list[np.ndarray]:
     """Rows of 8- or 16-bit codes as 64-bit keys that compare like the rows."""
     per = 8 // codes.dtype.itemsize
@@ -146,24 +155,6 @@ def vocabulary(model_file: str) -> Vocabulary:
     return Vocabulary(model_file)
 
 
-def _bound(order: list[np.ndarray], keys: list[np.ndarray], masks: list[np.ndarray], upper: bool) -> np.ndarray:
-    """Binary search of every key in the sorted suffix keys, compared as far as its mask reaches."""
-    n = len(order[0])
-    lo, hi = np.zeros(len(keys[0]), np.int64), np.full(len(keys[0]), n, np.int64)
-    for _ in range(int(n).bit_length() + 1):
-        open_ = lo < hi
-        mid = np.minimum((lo + hi) // 2, max(n - 1, 0))
-        less, same = np.zeros(len(lo), bool), np.ones(len(lo), bool)
-        for o, k, m in zip(order, keys, masks):
-            v = o[mid] & m
-            less |= same & (v < k)
-            same &= v == k
-        right = (less | (same if upper else False)) & open_
-        lo = np.where(right, mid + 1, lo)
-        hi = np.where(open_ & ~right, mid, hi)
-    return lo
-
-
 def encode_words(v: Vocabulary, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of the distinct words; a word starts with its space mark where it has one."""
     lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -182,22 +173,26 @@ def encode_words(v: Vocabulary, words: pa.Array) -> tuple[np.ndarray, np.ndarray
     spelled = narrow[v.spelled]
     able = np.flatnonzero(((spelled > 0) == (v.spelled > 0)).all(axis=1))
     spelled, size = spelled[able], v.length[able]
-    # suffix order, as deep as the longest piece and not across words
+    # suffix order by the letters of one 64-bit key, not across words; later keys tell longer pieces apart
     left = np.minimum(np.repeat(at[1:], lengths) - np.arange(n), v.depth).astype(np.uint8)
     window = np.lib.stride_tricks.sliding_window_view(np.concatenate([code, np.zeros(v.depth, code.dtype)]), v.depth)[:n]
     keys = _packed(np.where(np.arange(v.depth, dtype=np.uint8) < left[:, None], window, code.dtype.type(0)))
-    suffix = np.lexsort(keys[::-1])
-    order = [k[suffix] for k in keys]
+    suffix = np.argsort(keys[0])
+    order = keys[0][suffix]
     shown = np.where(np.arange(v.depth) < size[:, None], np.iinfo(code.dtype).max, 0).astype(code.dtype)
     masks = _packed(shown)
     wanted = _packed(spelled)
-    lo, hi = _bound(order, wanted, masks, False), _bound(order, wanted, masks, True)
-    del keys, order
+    lo = np.searchsorted(order, wanted[0], "left")
+    hi = np.searchsorted(order, wanted[0] | ~masks[0], "right")
     found = np.flatnonzero(hi > lo)
     count = (hi - lo)[found]
     start = suffix[ragged(lo[found], count)]
-    piece = np.repeat(v.ids[able[found]], count)
-    length = np.repeat(size[found], count)
+    which = np.repeat(found, count)
+    for key, want, mask in list(zip(keys, wanted, masks))[1:]:   # longer pieces: the rest of their letters
+        same = (mask[which] == 0) | ((key[start] & mask[which]) == want[which])
+        start, which = start[same], which[same]
+    del keys, order
+    piece, length = v.ids[able[which]], size[which]
     plain = np.zeros(n, bool)
     plain[start[length == 1]] = True
     single = np.flatnonzero(~plain)                           # characters in no piece: byte fallback
@@ -268,6 +263,29 @@ def space_run(v: Vocabulary, k: int) -> list[int]:
     return [v.runs[p] for p in parts]
 
 
+class Seen:
+    """Words that this Python worker has encoded lately, at most ``SEEN_WORDS`` of them beside those of one batch."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.offs = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the distinct words, each behind a space mark."""
+        if len(self.place) > SEEN_WORDS:
+            self.__init__()
+        new = [w for w in words if w not in self.place]
+        if new:
+            ids, offs = encode_words(v, pa.array([SPACE + w for w in new], pa.large_string()))
+            start = len(self.place)
+            self.place.update((w, start + k) for k, w in enumerate(new))
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self.offs = np.concatenate([self.offs, self.offs[-1] + offs[1:]])
+        at = np.fromiter((self.place[w] for w in words), np.int64, len(words))
+        n = self.offs[at + 1] - self.offs[at]
+        return self.ids[ragged(self.offs[at], n)].astype(np.int64), np.concatenate([[0], np.cumsum(n)])
+
+
 def _merge_runs(v: Vocabulary, codes: np.ndarray, at: np.ndarray, empty: int, ids: np.ndarray,
                 offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Give every run of empty words (spaces in a row) one code of its own; the mark of the next word joins the run where
@@ -308,7 +326,7 @@ def encode_texts(v: Vocabulary, texts: pa.Array) -> pa.ListArray:
     words, at = flat(pc.split_pattern(pc.replace_substring(texts, SPACE, " "), " "))
     distinct, codes = coded(words)
     codes = codes.astype(np.int64)
-    ids, offs = encode_words(v, pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), distinct.cast(pa.large_string()), pa.scalar("", pa.large_string())))
+    ids, offs = v.seen.encode(v, distinct.to_pylist())
     blank = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     if blank.any():                                   # an empty text has no words at all
         keep = ~np.repeat(blank, np.diff(at))
