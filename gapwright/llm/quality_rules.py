@@ -57,12 +57,13 @@ def _repeat_words(words: str, n: str) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the struct ``__m`` of measurements of ``text``."""
-    split = (docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    """Rows of ``docs`` as the struct ``__row``, and the measurements of ``text``."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    split = (docs.select(row.alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
              .withColumn("__w", F.array_remove(F.split("__t", WORD_GAP), ""))
              .withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: x.rlike(LINE_WITH_WORD)))
              .withColumn("__n", F.size("__w")))
-    return split.withColumn("__m", F.struct(
+    measures = F.struct(
         F.col("__n").cast("long").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("__t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -70,7 +71,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         _repeat_words("__w", "__n").alias("n_repeat_words"),
         (F.length("__t") - F.length(F.regexp_replace("__t", r"\p{L}+", ""))).cast("long").alias("n_letters"),
-    )).drop("__t", "__w", "__l", "__n")
+    )
+    # a generator between measuring and judging: a filter on the verdict is not pushed down into copies of the measures
+    return split.select("__row", F.inline(F.array(measures)))
 
 
 def _failed() -> Column:
@@ -83,8 +86,8 @@ def _failed() -> Column:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, measurements and the mask ``failed`` of all rules it fails."""
-    m = measured(docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text")))
-    return m.select(F.col("__id").alias(id_col), "__m.*").withColumn("failed", _failed())
+    m = measured(docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")), "__text")
+    return m.select(F.col("__row.__id").alias(id_col), *(c for c in m.columns if c != "__row")).withColumn("failed", _failed())
 
 
 def with_policy(rows: DataFrame, version: str = "v3") -> DataFrame:
@@ -98,8 +101,7 @@ def with_policy(rows: DataFrame, version: str = "v3") -> DataFrame:
 
 def apply_policy(docs: DataFrame, version: str = "v3", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, columns unchanged."""
-    m = measured(docs, text).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "__m.*")
-    return with_policy(m.withColumn("failed", _failed()), version).filter("kept").select("__row.*")
+    return with_policy(measured(docs, text).withColumn("failed", _failed()), version).filter("kept").select("__row.*")
 
 
 def ablation(rows: DataFrame, version: str = "v3") -> DataFrame:
