@@ -6,6 +6,11 @@ of their length).  A hit aligns item and document; each aligned item is then com
 stand in placeholders must map consistently (an item's value always becomes the same value), which catches questions
 with new numbers or names and passes over chance templates.
 
+Template windows with fewer than half literals are not looked up, because "number number number" is everywhere.  Every
+window of every item is looked up by its plain words (lower case, without outer punctuation) too, so a copy is found
+whatever its words are: title case, lists of numbers or names, items of a few words.  An alignment that only plain words
+gave counts equal words, not equal placeholders.
+
 An item counts as leaked when at least half of its tokens are matched and at most a fifth of its slots break the mapping.
 
 The benchmark is read in blocks of at most ``BLOCK_TOKENS`` tokens.  One block's index is broadcast at a time, so memory
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwright.llm.batches import pieces, texts_of, words_of
+from gapwright.llm.batches import pieces, ragged, texts_of, words_of
 from gapwright.session import cut_lineage
 
 WINDOW = 8
@@ -81,6 +86,7 @@ class Tokens:
         distinct, codes, self.at = words_of(texts)
         self.words = distinct.to_pylist()
         self.codes = codes
+        self.plain = np.fromiter((_h((_OUTER.sub("", w) or w).lower()) for w in self.words), np.uint64, len(self.words))[codes]
         start = np.fromiter((_h(template(w, True)) for w in self.words), np.uint64, len(self.words))
         inner = np.fromiter((_h(template(w, False)) for w in self.words), np.uint64, len(self.words))
         ends = np.fromiter((w.endswith(_STOP) for w in self.words), bool, len(self.words))
@@ -89,17 +95,21 @@ class Tokens:
         first[self.at[:-1][self.at[:-1] < len(codes)]] = True
         self.t = np.where(first, start[codes], inner[codes]) if len(codes) else np.zeros(0, np.uint64)
 
-    def windows(self, width: int) -> np.ndarray:
-        """Hash of the window that starts at each token; 0 where it leaves its text or has too few literals."""
-        n = len(self.t) - width + 1
+    def windows(self, width: int, plain: bool = False) -> np.ndarray:
+        """Hash of the template (or ``plain`` words) of the window that starts at each token; 0 where it leaves its text,
+        and for a template with too few literals."""
+        tokens = self.plain if plain else self.t
+        n = len(tokens) - width + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
         h = np.zeros(n, np.uint64)
         for k in range(width):
-            h = (h ^ (h >> np.uint64(31))) * _A + self.t[k:k + n]
-        literal = np.r_[0, np.cumsum(~np.isin(self.t, SLOTS))]
+            h = (h ^ (h >> np.uint64(31))) * _A + tokens[k:k + n]
         end = np.repeat(self.at[1:], np.diff(self.at))[:n]
-        good = (np.arange(n) + width <= end) & (literal[width:] - literal[:-width] >= MIN_LITERAL * width)
+        good = np.arange(n) + width <= end
+        if not plain:
+            literal = np.r_[0, np.cumsum(~np.isin(self.t, SLOTS))]
+            good &= literal[width:] - literal[:-width] >= MIN_LITERAL * width
         return np.where(good, h | np.uint64(1), np.uint64(0))
 
     def slot_value(self, i: int) -> str:
@@ -113,43 +123,46 @@ class Index:
         self.ids = ids
         self.tokens = Tokens(texts_of(pa.array(texts, pa.string())))
         lengths = np.diff(self.tokens.at)
-        self.widths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        item = np.repeat(np.arange(len(ids)), lengths)
+        self.item = np.repeat(np.arange(len(ids)), lengths)
+        self.windows: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
         for width in sorted({min(WINDOW, int(x)) for x in lengths if x}):
-            h = self.tokens.windows(width)
-            use = (h != 0) & (np.minimum(lengths, WINDOW)[item[:len(h)]] == width)
-            at = np.flatnonzero(use)
-            order = np.argsort(h[at], kind="stable")
-            if len(at):
-                self.widths[width] = h[at][order], at[order]
-        self.item = item
-
-    def hits(self, doc: Tokens) -> list[tuple[int, int, int]]:
-        """(width, document token, index token) of every equal window."""
-        out = []
-        for width, (keys, at) in self.widths.items():
-            h = doc.windows(width)
+            for plain in (False, True):
+                h = self.tokens.windows(width, plain)
+                use = (h != 0) & (np.minimum(lengths, WINDOW)[self.item[:len(h)]] == width)
+                at = np.flatnonzero(use)
+                order = np.argsort(h[at], kind="stable")
+                if len(at):
+                    self.windows[width, plain] = h[at][order], at[order]
+
+    def hits(self, doc: Tokens) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+        """(plain, document tokens, index tokens) of all equal windows, kind by kind."""
+        for (width, plain), (keys, at) in self.windows.items():
+            h = doc.windows(width, plain)
             lo = np.searchsorted(keys, h, "left")
             cand = np.flatnonzero((keys[np.minimum(lo, len(keys) - 1)] == h) & (h != 0))
-            for i, a, b in zip(cand.tolist(), lo[cand].tolist(), np.searchsorted(keys, h[cand], "right").tolist()):
-                out += [(width, i, int(at[k])) for k in range(a, b)]
-        return out
+            many = np.searchsorted(keys, h[cand], "right") - lo[cand]
+            yield plain, np.repeat(cand, many), at[ragged(lo[cand], many)]
 
 
 def _leaks(index: Index, doc: Tokens) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(row, item, tokens, matched, slots, broken) of every aligned pair."""
-    pairs: dict[tuple[int, int], set[int]] = {}
+    pairs: dict[tuple[int, int], tuple[set[int], set[int]]] = {}
     row_of = np.repeat(np.arange(len(doc.at) - 1), np.diff(doc.at))
-    for _, i, j in index.hits(doc):
-        pairs.setdefault((int(row_of[i]), int(index.item[j])), set()).add(i - j)
+    for plain, i, j in index.hits(doc):
+        if len(i):
+            for row, item, shift in np.unique(np.stack([row_of[i], index.item[j], i - j], axis=1), axis=0).tolist():
+                pairs.setdefault((row, item), (set(), set()))[plain].add(shift)
     ref = index.tokens
-    for (row, item), shifts in sorted(pairs.items()):
+    for (row, item), (shifts, copies) in sorted(pairs.items()):
         a, b = int(ref.at[item]), int(ref.at[item + 1])
-        best = np.zeros(b - a, bool)
+        best, matched = np.zeros(b - a, bool), np.zeros(b - a, bool)
         maps: dict[str, dict[str, int]] = {}
-        for shift in sorted(shifts):
+        for shift in sorted(shifts | copies):
             lo = max(a, int(doc.at[row]) - shift)
             hi = min(b, int(doc.at[row + 1]) - shift)
+            matched[lo - a:hi - a] |= ref.plain[lo:hi] == doc.plain[lo + shift:hi + shift]
+            if shift not in shifts:
+                continue
             same = np.zeros(b - a, bool)
             same[lo - a:hi - a] = ref.t[lo:hi] == doc.t[lo + shift:hi + shift]
             new = same & ~best
@@ -160,7 +173,7 @@ def _leaks(index: Index, doc: Tokens) -> Iterator[tuple[int, int, int, int, int,
             best |= same
         slots = sum(sum(v.values()) for v in maps.values())
         broken = slots - sum(max(v.values()) for v in maps.values())
-        yield row, item, b - a, int(best.sum()), slots, broken
+        yield row, item, b - a, int((best | matched).sum()), slots, broken
 
 
 def _search(shared):

@@ -229,6 +229,19 @@ def test_decontamination_finds_copies_and_new_numbers(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(d, b).collect()} == {3, 4, 6}
 
 
+def test_decontamination_finds_copies_with_few_literals(spark):
+    items = ["The Old Man And The Sea Was Written By Ernest Hemingway While He Was Living In Cuba", "Sort the list: 14, 3, 27, 9, 81, 5, 62, 40, 11, 8, 33, 70, 19, 2",
+             "Alice, Bob, Carol, David, Emma, Frank, Grace, Henry, John, Mary, James, Anna, Peter, Susan, Tom", "Paris Rome 7 9", "Which river runs through this city"]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    filler = words(40, 41)
+    rows = [(i, f"{filler} {x.lower() if i == 3 else x} {filler}") for i, x in enumerate(items)]
+    rows += [(10, filler + " Sort the list: " + ", ".join(str(x) for x in range(200, 214))), (11, filler + " Lima Oslo 7 9 " + filler),
+             (12, filler + " 3, 27, 9, 81, 5, 62, 40, 11 " + filler.replace(" ", " 6 "))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()} == {(i, i) for i in range(5)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(d, b).collect()} == {10, 11, 12}
+
+
 def test_decontamination_slots_must_agree():
     with np.errstate(over="ignore"):
         item = "if 3 boys share 3 cakes and 3 girls share 3 pies then how many sweets are there for 3 teachers"
