@@ -11,7 +11,9 @@ window of every item is looked up by its plain words (lower case, without outer
 whatever its words are: title case, lists of numbers or names, items of a few words.  An alignment that only plain words
 gave counts equal words, not equal placeholders.
 
-An item counts as leaked when at least half of its tokens are matched and at most a fifth of its slots break the mapping.
+An item counts as leaked when at least half of its tokens are matched and at most a fifth of its slots break the mapping,
+or when one stretch of ``STRETCH`` tokens (the whole item if that is shorter) is matched without a gap and without a break
+of the mapping inside it, whatever share of the item that is.
 
 The benchmark is read in blocks of at most ``BLOCK_TOKENS`` tokens.  One block's index is broadcast at a time, so memory
 is bounded whatever the benchmark's size, and documents are never shuffled.  Null or wordless texts and items match
@@ -36,6 +38,7 @@ WINDOW = 8
 MIN_LITERAL = 0.5           # share of a window that must not be placeholders
 BLOCK_TOKENS = 2_000_000    # tokens of benchmark text behind one broadcast
 COVER, BREAKS = 0.5, 0.2
+STRETCH = 50                # tokens in a row that are a leak by themselves
 
 # Unit words, number words, given names.
 UNITS = set("""mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers
@@ -86,9 +89,11 @@ class Tokens:
         distinct, codes, self.at = words_of(texts)
         self.words = distinct.to_pylist()
         self.codes = codes
-        self.plain = np.fromiter((_h((_OUTER.sub("", w) or w).lower()) for w in self.words), np.uint64, len(self.words))[codes]
-        start = np.fromiter((_h(template(w, True)) for w in self.words), np.uint64, len(self.words))
-        inner = np.fromiter((_h(template(w, False)) for w in self.words), np.uint64, len(self.words))
+        plain = (w if w.isalpha() and w.islower() else (_OUTER.sub("", w) or w).lower() for w in self.words)
+        self.plain = np.fromiter((_h(x) for x in plain), np.uint64, len(self.words))[codes]
+        within = [template(w, False) for w in self.words]
+        start = np.fromiter((_h(template(w, True) if x == NAME else x) for w, x in zip(self.words, within)), np.uint64, len(within))
+        inner = np.fromiter((_h(x) for x in within), np.uint64, len(within))
         ends = np.fromiter((w.endswith(_STOP) for w in self.words), bool, len(self.words))
         first = np.zeros(len(codes), bool)
         first[1:] = ends[codes[:-1]]
@@ -144,8 +149,26 @@ class Index:
             yield plain, np.repeat(cand, many), at[ragged(lo[cand], many)]
 
 
+def _longest(same: np.ndarray, slot: np.ndarray, old: np.ndarray, new: np.ndarray) -> int:
+    """Length of the longest stretch of ``same`` tokens in which an old slot value always has one new value."""
+    edge = np.flatnonzero(np.diff(np.r_[False, same, False]))
+    best = 0
+    for start, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        if end - start <= best:
+            continue
+        last: dict[int, tuple[int, int]] = {}
+        for k in (start + np.flatnonzero(slot[start:end])).tolist():
+            value, at = last.get(int(old[k]), (None, -1))
+            if at >= start and value != int(new[k]):
+                best = max(best, k - start)
+                start = at + 1
+            last[int(old[k])] = int(new[k]), k
+        best = max(best, end - start)
+    return best
+
+
 def _leaks(index: Index, doc: Tokens) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(row, item, tokens, matched, slots, broken) of every aligned pair."""
+    """(row, item, matched, longest stretch, slots, broken) of every aligned pair."""
     pairs: dict[tuple[int, int], tuple[set[int], set[int]]] = {}
     row_of = np.repeat(np.arange(len(doc.at) - 1), np.diff(doc.at))
     for plain, i, j in index.hits(doc):
@@ -156,24 +179,29 @@ def _leaks(index: Index, doc: Tokens) -> Iterator[tuple[int, int, int, int, int,
     for (row, item), (shifts, copies) in sorted(pairs.items()):
         a, b = int(ref.at[item]), int(ref.at[item + 1])
         best, matched = np.zeros(b - a, bool), np.zeros(b - a, bool)
+        slot, run = np.isin(ref.t[a:b], SLOTS), 0
         maps: dict[str, dict[str, int]] = {}
         for shift in sorted(shifts | copies):
             lo = max(a, int(doc.at[row]) - shift)
             hi = min(b, int(doc.at[row + 1]) - shift)
-            matched[lo - a:hi - a] |= ref.plain[lo:hi] == doc.plain[lo + shift:hi + shift]
+            own, other = slice(lo, hi), slice(lo + shift, hi + shift)
+            copied = ref.plain[own] == doc.plain[other]
+            alike = ref.t[own] == doc.t[other]
+            matched[lo - a:hi - a] |= copied
+            run = max(run, _longest(copied | alike if shift in shifts else copied, slot[lo - a:hi - a], ref.plain[own], doc.plain[other]))
             if shift not in shifts:
                 continue
             same = np.zeros(b - a, bool)
-            same[lo - a:hi - a] = ref.t[lo:hi] == doc.t[lo + shift:hi + shift]
+            same[lo - a:hi - a] = alike
             new = same & ~best
-            for k in np.flatnonzero(new & np.isin(ref.t[a:b], SLOTS)).tolist():
+            for k in np.flatnonzero(new & slot).tolist():
                 seen = maps.setdefault(ref.slot_value(a + k), {})
                 value = doc.slot_value(a + k + shift)
                 seen[value] = seen.get(value, 0) + 1
             best |= same
         slots = sum(sum(v.values()) for v in maps.values())
         broken = slots - sum(max(v.values()) for v in maps.values())
-        yield row, item, b - a, int((best | matched).sum()), slots, broken
+        yield row, item, int((best | matched).sum()), run, slots, broken
 
 
 def _search(shared):
@@ -181,13 +209,14 @@ def _search(shared):
         ids, texts = shared.value
         with np.errstate(over="ignore"):
             index = Index(ids, texts)
+            lengths = np.diff(index.tokens.at)
             for batch in pieces(batches, "__text"):
                 found = list(_leaks(index, Tokens(texts_of(batch.column("__text")))))
                 rows, items, *numbers = (list(x) for x in zip(*found)) if found else [[] for _ in range(6)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("__id").take(pa.array(rows, pa.int64())), pa.array([ids[i] for i in items], pa.int64()),
-                     *(pa.array(x, pa.int64()) for x in numbers)],
-                    ["doc_id", "item_id", "n_tokens", "n_matched", "n_slots", "n_broken"])
+                     pa.array([lengths[i] for i in items], pa.int64()), *(pa.array(x, pa.int64()) for x in numbers)],
+                    ["doc_id", "item_id", "n_tokens", "n_matched", "n_stretch", "n_slots", "n_broken"])
     return run
 
 
@@ -209,13 +238,14 @@ def aligned(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
     """One row per aligned document and item with its evidence and verdict ``contaminated``."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("__text"))
-    schema = "doc_id bigint, item_id bigint, n_tokens bigint, n_matched bigint, n_slots bigint, n_broken bigint"
+    schema = "doc_id bigint, item_id bigint, n_tokens bigint, n_matched bigint, n_stretch bigint, n_slots bigint, n_broken bigint"
     out = None
     for block in blocks(benchmark):
         part = base.mapInArrow(_search(spark.sparkContext.broadcast(block)), schema)
         out = part if out is None else cut_lineage(out).unionByName(part)
     verdict = (F.col("n_matched") >= COVER * F.col("n_tokens")) & (F.col("n_broken") <= BREAKS * F.col("n_slots"))
-    return out.withColumn("contaminated", verdict)
+    stretch = (F.col("n_tokens") > 0) & (F.col("n_stretch") >= F.least(F.lit(STRETCH), F.col("n_tokens")))
+    return out.withColumn("contaminated", verdict | stretch)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -242,6 +242,30 @@ def test_decontamination_finds_copies_with_few_literals(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(d, b).collect()} == {10, 11, 12}
 
 
+def test_decontamination_finds_long_stretches_of_longer_items(spark):
+    item = words(600, 50).split()
+    numbers = " ".join(f"{w} 3" if i % 9 == 4 else w for i, w in enumerate(words(400, 51).split())).split()
+    b = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(numbers))], "item_id bigint, text string")
+    rng = iter(range(10, 10_000))
+    part = [("8" if w == "3" else w) for w in numbers[100:170]]
+    rows = [(1, item[100:350]), (2, item[:50]), (3, item[-50:]), (4, item[200:249]), (5, part),
+            (6, [str(next(rng)) if w == "8" else w for w in part])]
+    d = spark.createDataFrame([(i, f"{words(30, 60)} {' '.join(x)} {words(30, 61)}") for i, x in rows], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()} == {(1, 1), (2, 1), (3, 1), (5, 2)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(d, b).collect()} == {4, 6}
+
+
+def test_longest_consistent_stretch_matches_brute_force():
+    r = random.Random(4)
+    for _ in range(300):
+        n = r.randint(1, 25)
+        same, slot = (np.array([r.random() < q for _ in range(n)]) for q in (0.85, 0.5))
+        old, new = (np.array([r.randint(0, 2) for _ in range(n)], np.uint64) for _ in range(2))
+        fits = lambda a, b: same[a:b].all() and all(len({int(new[k]) for k in range(a, b) if slot[k] and old[k] == v}) < 2 for v in range(3))
+        want = max([b - a for a in range(n) for b in range(a + 1, n + 1) if fits(a, b)], default=0)
+        assert decontaminate._longest(same, slot, old, new) == want
+
+
 def test_decontamination_slots_must_agree():
     with np.errstate(over="ignore"):
         item = "if 3 boys share 3 cakes and 3 girls share 3 pies then how many sweets are there for 3 teachers"
