@@ -61,10 +61,10 @@ def _errors(spark: SparkSession, d: str) -> DataFrame:
     return cut_lineage(sg.seed_average(mt.nrmse_per_well(_suff(spark, d), sigma)).withColumn("nrmse", F.round("nrmse", 6)))
 
 
-def _raw(spark: SparkSession, d: str) -> DataFrame:
+def _raw(spark: SparkSession, d: str, seeds=SEEDS, methods=METHODS) -> DataFrame:
     """Per-fold metrics with the R2 over all logs as ``r2``."""
     s = tb.well_samples(spark, d)
-    per = rp.all_log_r2(_suff(spark, d), [*mt.CELL, "well"])
+    per = rp.all_log_r2(_suff(spark, d, seeds, methods), [*mt.CELL, "well"])
     return cut_lineage(per.join(wn.folds(wn.intact_windows(s)).select(F.col("test_well").alias("well"), F.col("fold_id").alias("fold")), "well").select(
         F.col("mask_seed").alias("seed"), "method", "scenario", "fold", "log", F.round("r2", 6).alias("r2")))
 
@@ -483,21 +483,22 @@ def grid_offsets(spark, d):
     return sp.grid_offsets(tb.well_samples(spark, d))
 
 
-def _spatial(kind):
+def _spatial(kind, scenarios=("block",)):
     def run(spark, d):
         s = tb.well_samples(spark, d)
         off = sp.grid_offsets(s)
         c = tb.coords(spark, d)
         g = sp.on_grid(s, off)
-        m = mk.apply_masks(wn.window_samples(s), ["block"])
+        m = mk.apply_masks(wn.window_samples(s), scenarios)
         ranges = sp.variogram_fits(sp.pair_semivariances(g, c), sp.median_distance(c)) if kind == "okrige" else None
         p = sp.predict_spatial(m, sc.fold_scaler(s), g, c, off, kind, ranges)
-        return rnd(im.to_points(p, [kind], ["well", "start", "t"]).select("well", "start", "t", "log", "pred"), pred=4)
+        keys = ["well", "start", "t"] if len(scenarios) == 1 else ["scenario", "well", "start", "t"]
+        return rnd(im.to_points(p, [kind], keys).select(*keys, "log", "pred"), pred=4)
     return run
 
 
 for _k in ("idw", "nnwell", "okrige"):
-    QUERIES[f"impute_{_k}"] = _spatial(_k)
+    QUERIES[f"impute_{_k}"] = _spatial(_k, SCENARIOS if _k == "okrige" else ("block",))
 
 
 @query
@@ -569,3 +570,45 @@ def pairwise_corr(spark, d):
 @query
 def hexbin(spark, d):
     return rp.hexbin(tb.well_samples(spark, d), "GR", "RHOB")
+
+
+# --- whole sizes of queries whose SQL twin states a smaller one ---------------------------------------------------------
+
+WHOLE_SEEDS, WHOLE_REPS = (0, 1, 2, 3, 4), 5
+
+
+@query
+def whole_suff_stats(spark, d):
+    return _by_log(_suff(spark, d, WHOLE_SEEDS, im.NATIVE), "sum_y", "sum_y2", "sse", "sae")
+
+
+@query
+def whole_main_table(spark, d):
+    s = tb.well_samples(spark, d)
+    t = rp.main_table(_suff(spark, d, WHOLE_SEEDS, im.NATIVE), mt.scaler_sigma(sc.fold_scaler(s)))
+    return rnd(t, r2_macro_mean=6, r2_macro_sd=6, nrmse_well_q1=6, nrmse_well_median=6, nrmse_well_q3=6, nrmse_well_mean=6)
+
+
+@query
+def whole_fold_spread(spark, d):
+    raw = _raw(spark, d, WHOLE_SEEDS, im.NATIVE)
+    return rnd(rp.fold_spread(raw), fold_mean=9, fold_median=7)
+
+
+@query
+def whole_empirical_blackout(spark, d):
+    pts = em.evaluate_empirical(tb.well_samples(spark, d), im.NATIVE, WHOLE_REPS)
+    return _by_log(mt.sufficient_stats(pts, ["method", "log", "well"]).select("method", "log", "well", "n", "sse", "sae"), "sse", "sae")
+
+
+@query
+def whole_hexbin(spark, d):
+    s, out = tb.well_samples(spark, d), None
+    for a, b in (("GR", "RHOB"), ("GR", "NPHI"), ("RHOB", "NPHI")):
+        part = rp.hexbin(s, a, b).select(F.lit(a).alias("log_x"), F.lit(b).alias("log_y"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+for _k in ("idw", "nnwell"):
+    QUERIES[f"whole_{_k}"] = _spatial(_k, SCENARIOS)

@@ -256,3 +256,21 @@ def test_ridge_reads_its_own_predictions(spark):
     assert (got[0].p_ridge_gr, got[0].p_ridge_rhob) == (2.0, 12.0)          # 0.25 * 8; 2 * 2 + 8
     assert (got[1].p_ridge_gr, got[1].p_ridge_rhob, got[1].p_ridge_nphi) == (0.0, 0.0, 0.0)
     assert (got[2].p_ridge_gr, got[2].p_ridge_nphi) == (2.0, 14.0)          # 0.5 * 4; -2 + 4 * 4
+
+
+def test_whole_queries_take_everything(spark, sf):
+    from gapwright.plans.catalogue import QUERIES
+    main = QUERIES["whole_main_table"](spark, sf).collect()
+    assert {(r.method, r.scenario) for r in main} == {(m, s) for m in im.NATIVE for s in SCENARIOS} and {r.n_seeds for r in main} == {5}
+    stats = QUERIES["whole_suff_stats"](spark, sf)
+    assert {r.mask_seed for r in stats.select("mask_seed").distinct().collect()} == set(range(5))
+    folds = stats.select("well").distinct().count()
+    assert QUERIES["whole_fold_spread"](spark, sf).agg(F.max("n_folds")).first()[0] == 5 * folds
+    assert {r.method for r in QUERIES["whole_empirical_blackout"](spark, sf).collect()} == set(im.NATIVE)
+    pairs = QUERIES["whole_hexbin"](spark, sf)
+    assert pairs.select("log_x", "log_y").distinct().count() == 3
+    one = QUERIES["hexbin"](spark, sf)
+    same = pairs.where("log_x = 'GR' and log_y = 'RHOB'").select(*one.columns)
+    assert same.exceptAll(one).count() == one.exceptAll(same).count() == 0
+    for k in ("whole_idw", "whole_nnwell", "impute_okrige"):
+        assert {r.scenario for r in QUERIES[k](spark, sf).select("scenario").distinct().collect()} == set(SCENARIOS)
