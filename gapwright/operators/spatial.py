@@ -394,7 +394,7 @@ def kriging(targets: DataFrame, grid: DataFrame, coords: DataFrame, ranges: Data
 
     ``ranges`` holds (well, log, range_km).  A kriging system couples all wells measured at a
     depth, so one depth is one task by definition; a depth with more than ``max_wells`` wells
-    is refused with an error rather than thinned.  All targets of a depth that share a range
+    is refused with an error rather than thinned, so this is no operator for tables of any size.  All targets of a depth that share a range
     come from a single inverse.
     """
     wide = ranges.groupBy("well").pivot("log", [c.upper() for c in COLS]).agg(F.first("range_km"))
