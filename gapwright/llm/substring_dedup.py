@@ -12,24 +12,25 @@ pass a window alone in its group is out, and equal groups at full depth are exac
 
 All digests that decide a repeat have 128 bits.  Groups are counted by partial aggregation and flags are joined back to
 their members, so a passage in a third of all documents is never gathered.  Texts longer than 1 MB are read in
-overlapping blocks.  Null texts are empty; a null id is an id of its own; rows that repeat id and text repeat each
+overlapping blocks.  Null texts are empty; rows are known by id and 64-bit hash of the text, a null id
+by its text's crc32 and length besides; rows that repeat id and text repeat each
 other's windows and are treated alike; texts under 200 bytes stay whole; extra columns are carried by ``dedup``.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapwright.llm.batches import NO_ID, ids_of, pieces, ragged
+from gapwright.llm.batches import ids_of, pieces, ragged
 from gapwright.session import cut_lineage
 
 SPAN = 200                  # bytes of a window
@@ -94,8 +95,14 @@ def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return begin, count, place, h[place], Rolling(data, 1).hash(begin, begin + count + SPAN - 1)
 
 
+def _key(text: bytes) -> int:
+    """What Spark's ``xxhash64`` gives for the text."""
+    h = xxhash.xxh64_intdigest(text, 42)
+    return h - (h >> 63 << 64)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list, list, list]]:
-    """(bytes, offsets, ids, crcs, places in their texts) of blocks of whole short texts or parts of long ones."""
+    """(bytes, offsets, ids, keys, places in their texts) of blocks of whole short texts or parts of long ones."""
     for batch in pieces(batches, "__text", BLOCK):
         ids = ids_of(batch.column("__id")).tolist()
         texts = [b"" if x is None else x for x in batch.column("__text").cast(pa.binary()).to_pylist()]
@@ -104,12 +111,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         if short:
             part = [texts[k] for k in short]
             yield (np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in part])]).astype(np.int64),
-                   [ids[k] for k in short], [zlib.crc32(t) for t in part], [0] * len(part))
+                   [ids[k] for k in short], [_key(t) for t in part], [0] * len(part))
         for k in (k for k, x in enumerate(long) if x):
-            crc = zlib.crc32(texts[k])
+            key = _key(texts[k])
             for a in range(0, len(texts[k]) - SPAN + 1, BLOCK):
                 data = np.frombuffer(texts[k], np.uint8, min(BLOCK + SPAN - 1, len(texts[k]) - a), a)
-                yield data, np.array([0, len(data)]), [ids[k]], [crc], [a]
+                yield data, np.array([0, len(data)]), [ids[k]], [key], [a]
 
 
 def _anchor_chunks(parts: int):
@@ -157,15 +164,15 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        for data, at, ids, crcs, places in _blocks(batches):
+        for data, at, ids, keys, places in _blocks(batches):
             begin, count, place, anchor, content = runs(data, at)
             doc = np.searchsorted(at, begin, "right") - 1
             start = begin - at[doc] + np.array(places, np.int64)[doc]
             packed = (start << 16) | (count << 8) | (place - begin)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor.view(np.int64)), pa.array((content & ~np.uint64(1)).view(np.int64)),
-                 pa.array(np.array(ids, np.int64)[doc]), pa.array(np.array(crcs, np.int64)[doc]), pa.array(packed)],
-                ["anchor", "content", "id", "crc", "run"])
+                 pa.array(np.array(ids, np.int64)[doc]), pa.array(np.array(keys, np.int64)[doc]), pa.array(packed)],
+                ["anchor", "content", "id", "key", "run"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,18 +193,18 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of every open run."""
     for batch in _unpacked(batches):
-        ids, crcs, out_run, out_bytes = [], [], [], []
+        ids, keys, out_run, out_bytes = [], [], [], []
         texts = batch.column("__text")
-        for i, c, t, open_ in zip(ids_of(batch.column("__id")).tolist(), batch.column("crc").to_pylist(), texts, batch.column("open").to_pylist()):
+        for i, c, t, open_ in zip(ids_of(batch.column("__id")).tolist(), batch.column("key").to_pylist(), texts, batch.column("open").to_pylist()):
             t = t.as_buffer()
             for r in open_:
                 a = r >> 16
                 ids.append(i)
-                crcs.append(c)
+                keys.append(c)
                 out_run.append(r)
                 out_bytes.append(t.slice(a, ((r >> 8) & 255) + SPAN - 1).to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(crcs, pa.int64()), pa.array(out_run, pa.int64()),
-                                          pa.array(out_bytes, pa.binary())], ["id", "crc", "run", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(out_run, pa.int64()),
+                                          pa.array(out_bytes, pa.binary())], ["id", "key", "run", "bytes"])
 
 
 def _range_digests(width: int, parent: int):
@@ -262,7 +269,7 @@ def _border_windows(contexts: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(id, crc, spans) of documents with repeated windows; ``docs`` has ``__id``, ``crc``, ``__text`` (binary).
+    """(id, key, spans) of documents with repeated windows; ``docs`` has ``__id``, ``key``, ``__text`` (binary).
 
     ``spans`` packs first window start and number of starts as ``start * 65536 + number * 256``.
     """
@@ -272,27 +279,27 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     again = cut_lineage(texts.mapInArrow(_anchor_chunks(width), "part int, recs binary").repartition(width, "part")
                         .mapInArrow(_repeated, "anchor bigint, content bigint, whole boolean, mixed boolean")
                         .withColumn("aid", F.monotonically_increasing_id()))
-    rows = texts.mapInArrow(_run_rows, "anchor bigint, content bigint, id bigint, crc bigint, run bigint")
-    shared = rows.join(again, ["anchor", "content"]).select("id", "crc", "run", "whole", "mixed", "aid")
-    lists = cut_lineage(shared.groupBy("id", "crc").agg(
+    rows = texts.mapInArrow(_run_rows, "anchor bigint, content bigint, id bigint, key bigint, run bigint")
+    shared = rows.join(again, ["anchor", "content"]).select("id", "key", "run", "whole", "mixed", "aid")
+    lists = cut_lineage(shared.groupBy("id", "key").agg(
         F.collect_set(F.when(F.col("whole"), F.col("run"))).alias("spans"),
         F.collect_set(F.when(~F.col("whole"), F.col("run"))).alias("single"),
         F.collect_set(F.when(F.col("whole") & F.col("mixed"), F.struct("run", "aid"))).alias("twin")))
     # open runs: single contents, and one of each repeated content that single ones may overlap
-    twins = (lists.select("id", "crc", F.explode("twin").alias("t")).groupBy("t.aid").agg(F.min(F.struct("id", "crc", "t.run")).alias("one"))
-             .groupBy("one.id", "one.crc").agg(F.collect_set("one.run").alias("also")))
+    twins = (lists.select("id", "key", F.explode("twin").alias("t")).groupBy("t.aid").agg(F.min(F.struct("id", "key", "t.run")).alias("one"))
+             .groupBy("one.id", "one.key").agg(F.collect_set("one.run").alias("also")))
     none = F.array().cast("array<bigint>")
-    opened = (lists.select("id", "crc", "single").join(cut_lineage(twins), ["id", "crc"], "left")
-              .select(F.col("id").alias("__id"), "crc", F.concat("single", F.coalesce("also", none)).alias("open")).filter(F.size("open") > 0))
-    contexts = cut_lineage(docs.mapInArrow(_pack, docs.schema).join(opened, ["__id", "crc"]).select("__id", "crc", "__text", "open").dropDuplicates(["__id", "crc"])
-                           .mapInArrow(_contexts, "id bigint, crc bigint, run bigint, bytes binary")
+    opened = (lists.select("id", "key", "single").join(cut_lineage(twins), ["id", "key"], "left")
+              .select(F.col("id").alias("__id"), "key", F.concat("single", F.coalesce("also", none)).alias("open")).filter(F.size("open") > 0))
+    contexts = cut_lineage(docs.mapInArrow(_pack, docs.schema).join(opened, ["__id", "key"]).select("__id", "key", "__text", "open").dropDuplicates(["__id", "key"])
+                           .mapInArrow(_contexts, "id bigint, key bigint, run bigint, bytes binary")
                            .withColumn("cid", F.monotonically_increasing_id()))
     hit = _border_windows(contexts.select("cid", "run", "bytes"))
     start = F.shiftright("run", 16) + F.col("run").bitwiseAND(F.lit(255)) - F.col("hi")
-    border = (contexts.select("cid", "id", "crc", "run").join(hit, "cid").groupBy("id", "crc")
+    border = (contexts.select("cid", "id", "key", "run").join(hit, "cid").groupBy("id", "key")
               .agg(F.collect_set(start * 65536 + (F.col("hi") - F.col("lo") + 1) * 256).alias("border")))
-    out = lists.select("id", "crc", "spans").join(border, ["id", "crc"], "left")
-    return (out.select(F.col("id").alias("__id"), "crc", F.concat("spans", F.coalesce("border", none)).alias("spans"))
+    out = lists.select("id", "key", "spans").join(border, ["id", "key"], "left")
+    return (out.select(F.col("id").alias("__id"), "key", F.concat("spans", F.coalesce("border", none)).alias("spans"))
             .filter(F.size("spans") > 0))
 
 
@@ -332,11 +339,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     """Rows of ``docs`` without their text as the struct ``__row`` with n_bytes, n_removed, n_spans, kept (binary) and its SHA-256."""
     row = F.struct(F.col(id_col), *(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text)))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    base = docs.select(row.alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"),
-                       F.crc32(raw).alias("crc"), raw.alias("__text"))
-    spans = cut_lineage(repeated_runs(base.select("__id", "crc", "__text")))
+    other = F.shiftleft(F.crc32(raw), 31).bitwiseOR(F.octet_length(raw).cast("long"))       # stands for a null id
+    base = docs.select(row.alias("__row"), F.coalesce(F.col(id_col).cast("long"), other).alias("__id"),
+                       F.xxhash64(raw).alias("key"), raw.alias("__text"))
+    spans = cut_lineage(repeated_runs(base.select("__id", "key", "__text")))
     kind = base.schema["__row"].dataType.simpleString()
-    return base.mapInArrow(_pack, base.schema).join(spans, ["__id", "crc"], "left").select("__row", "__text", "spans").mapInArrow(
+    return base.mapInArrow(_pack, base.schema).join(spans, ["__id", "key"], "left").select("__row", "__text", "spans").mapInArrow(
         _finish, f"__row {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
 
 

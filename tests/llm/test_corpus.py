@@ -183,6 +183,19 @@ def test_substring_dedup_matches_brute_force(spark, rows):
     assert got == brute_repeats(data)
 
 
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_substring_dedup_keeps_texts_of_equal_crc_apart(spark, doc_id):
+    one, two = words(90, 22), words(90, 23)
+    end, tail = words(70, 24), words(70, 25)
+    heads = {zlib.crc32(f"{k} {one} {end}".encode().ljust(900)): k for k in range(150_000)}
+    pair = next((heads[c], k) for k in range(10 ** 6) if (c := zlib.crc32(f"{tail} {two} {k}".encode().ljust(900))) in heads)
+    texts = [f"{pair[0]} {one} {end}".ljust(900), f"{tail} {two} {pair[1]}".ljust(900)]
+    assert zlib.crc32(texts[0].encode()) == zlib.crc32(texts[1].encode())
+    data = [(doc_id, texts[0]), (doc_id, texts[1]), (1, one[3:]), (2, two[3:])]
+    d = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    assert collections.Counter(tuple(r) for r in substring_dedup.digest_rows(d).collect()) == brute_repeats(data)
+
+
 def test_substring_dedup_reads_long_texts_in_blocks(spark, monkeypatch):
     shared = words(120, 31)
     data = [(1, words(900, 32) + shared + words(900, 33)), (2, shared), (3, words(50, 34))]
