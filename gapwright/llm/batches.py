@@ -9,11 +9,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+PIECE = 8 << 20             # bytes of text worked on at once
 NO_ID = -(2 ** 63)          # stands for a null id inside packed records
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that ``column`` holds about ``limit`` bytes each (one longer text stays whole)."""
+    limit = limit or PIECE
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -25,8 +27,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
 
 
 def texts_of(column: pa.Array) -> pa.Array:
-    """The column as large strings, null as empty."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """The column as large strings, null as empty.
+
+    A cast slice keeps offsets into the whole batch, which string kernels misread; the texts are copied to buffers of their own.
+    """
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    return texts.take(pa.array(np.arange(len(texts)))) if len(texts) else texts
 
 
 def ids_of(column: pa.Array) -> np.ndarray:

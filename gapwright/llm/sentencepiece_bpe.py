@@ -32,6 +32,8 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BATCH_BYTES = 6 << 20
 SEEN_WORDS = 400_000
+LETTERS = 1 << 19           # letters of distinct words matched at once
+LONG = 256                  # letters from which a word is walked alone, over its own edges
 
 
 class Vocabulary:
@@ -78,6 +80,9 @@ class Vocabulary:
         pairs.sort()
         self.pair_key = np.array([a for a, _ in pairs], np.int64)
         self.pair_rank = np.array([b for _, b in pairs], np.int64)
+        self.pairs = dict(pairs)
+        self.joins: dict[tuple[int, int], bool] = {}
+        self.undone = [x.tolist() for x in (self.rank, self.left, self.right)]
         self.maybe = np.zeros(1 << 20, bool)                  # hashes of the pairs: most looked up are in none
         self.maybe[_slot(self.pair_key)] = True
         # match tables
@@ -136,6 +141,29 @@ class Vocabulary:
         return ok
 
 
+    def follows_one(self, a: int, b: int) -> bool:
+        """``follows`` for one pair, remembered."""
+        known = self.joins.get((a, b))
+        if known is not None:
+            return known
+        if len(self.joins) > SEEN_WORDS:
+            self.joins.clear()
+        rank, left, right = self.undone
+        x, y, limit = a, b, len(rank) + 1
+        while True:
+            if self.pairs.get(x * (self.size + 1) + y, limit) < limit:
+                break
+            rx, ry = rank[x], rank[y]
+            if rx < 0 and ry < 0:
+                break
+            if rx > ry:
+                limit, x = rx, right[x]
+            else:
+                limit, y = ry + 1, left[y]
+        fits = self.joins[a, b] = self.pairs.get(x * (self.size + 1) + y, limit) >= limit
+        return fits
+
+
 def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
@@ -156,6 +184,20 @@ def vocabulary(model_file: str) -> Vocabulary:
 
 
 def encode_words(v: Vocabulary, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of the distinct words, matched in runs of at most ``LETTERS`` letters (one longer word alone)."""
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts, total = [0], 0
+    for k, n in enumerate(size.tolist()):
+        if total and total + n > LETTERS:
+            cuts.append(k)
+            total = 0
+        total += n
+    parts = [_encode_run(v, words.slice(a, b - a)) for a, b in zip(cuts, [*cuts[1:], len(words)])]
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(offs) for _, offs in parts]))])
+    return np.concatenate([ids for ids, _ in parts]), ends
+
+
+def _encode_run(v: Vocabulary, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of the distinct words; a word starts with its space mark where it has one."""
     lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     at = np.concatenate([[0], np.cumsum(lengths)])
@@ -199,15 +241,25 @@ def encode_words(v: Vocabulary, words: pa.Array) -> tuple[np.ndarray, np.ndarray
     start = np.concatenate([start, single])
     piece = np.concatenate([piece, np.full(len(single), v.size)])
     length = np.concatenate([length, np.ones(len(single), np.int64)])
-    # relax by place in the word: all words advance together
+    # relax by place in the word: all words advance together, long ones alone
     word = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(n) - at[word]
-    spot = place[start]
-    by = np.argsort(spot.astype(np.uint16) if place.max() < 65536 else spot, kind="stable")
-    start, piece, length = start[by], piece[by], length[by]
-    step = np.concatenate([[0], np.cumsum(np.bincount(spot))])
     last = np.full(n + len(lengths), -1, np.int64)           # piece that ends before this point; one more point per word
     came = np.zeros(n + len(lengths), np.int64)
+    alone = (lengths > LONG)[word[start]]
+    if alone.any():
+        far = np.flatnonzero(alone)
+        far = far[np.argsort(start[far], kind="stable")]
+        owner = word[start[far]]
+        for s in np.split(np.arange(len(far)), np.flatnonzero(np.diff(owner)) + 1):
+            first = int(at[owner[s[0]]])
+            ends, from_, by = _walk(v, int(lengths[owner[s[0]]]), (start[far[s]] - first).tolist(), piece[far[s]].tolist(), length[far[s]].tolist())
+            point = np.array(ends) + first + owner[s[0]]
+            last[point], came[point] = by, np.array(from_) + first + owner[s[0]]
+        start, piece, length = start[~alone], piece[~alone], length[~alone]
+    spot = start - at[word[start]]
+    by = np.argsort(spot.astype(np.uint16), kind="stable")
+    start, piece, length = start[by], piece[by], length[by]
+    step = np.concatenate([[0], np.cumsum(np.bincount(spot))])
     base = start + word[start]
     for k in range(len(step) - 1):
         s = slice(step[k], step[k + 1])
@@ -247,6 +299,16 @@ def encode_words(v: Vocabulary, words: pa.Array) -> tuple[np.ndarray, np.ndarray
     return ids, np.concatenate([[0], np.cumsum(per)])
 
 
+def _walk(v: Vocabulary, n: int, start: list[int], piece: list[int], length: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """(reached points, where their edge began, its piece) of one word, over its edges in order of their start."""
+    last, came = [-1] * (n + 1), [0] * (n + 1)
+    for s, p, k in zip(start, piece, length):
+        if not s or (last[s] >= 0 and v.follows_one(last[s], p)):
+            last[s + k], came[s + k] = p, s
+    ends = [e for e in range(1, n + 1) if last[e] >= 0]
+    return ends, [came[e] for e in ends], [last[e] for e in ends]
+
+
 def space_run(v: Vocabulary, k: int) -> list[int]:
     """Ids of k space marks in a row: equal scores merge from the left for as long as any neighbours fit."""
     parts: list[int] = []
