@@ -33,7 +33,8 @@ from gapwright.session import cut_lineage
 WIDTH = 5                   # words in a shingle
 PERMS, ROWS, BITS = 128, 4, 2
 SLACK = 0.28                # six standard deviations of the corrected estimate at 0.75
-BLOCK = 128                 # sets on either side of one exact comparison of blocks
+BLOCK = 128                 # sets on either side of one exact comparison of blocks, on average
+BLOCK_SHINGLES = 200_000    # and shingles, on average beside one longer set
 
 _DRAW = np.random.default_rng(20240607)
 _MUL = (_DRAW.integers(0, 2 ** 32, PERMS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -206,32 +207,30 @@ class Linker:
         wanted = ids.select(F.col("id").alias("__id")).distinct()
         return cut_lineage(self.docs.join(wanted, "__id", "left_semi").select("__id", "__text").mapInArrow(_sets, "id bigint, set binary"))
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Pairs confirmed on full sets."""
-        pairs = cut_lineage(pairs)
-        wanted = pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))).distinct()
-        sets = self.sets(wanted.withColumnRenamed("__id", "id"))
+    def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs confirmed on full sets; the rows of a frequent hub are split by the adaptive skew join."""
         both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
                 .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"))
         return cut_lineage(both.mapInArrow(_confirm(self.percent, 100), "a bigint, b bigint").distinct())
 
     def links(self) -> DataFrame:
         """Confirmed links between class representatives that span every component."""
-        keyed = self.nodes.select("id", F.explode("bands").alias("key"))
+        keyed = self.nodes.select("id", "n", F.explode("bands").alias("key"))
         shared = cut_lineage(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"))
                              .filter(F.col("hub") < F.col("top")).select("key", "hub"))
         buckets = cut_lineage(keyed.join(shared, "key"))
         spokes = buckets.filter(F.col("id") != F.col("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-        links = self.confirm(self.likely(spokes))
-        members = buckets.join(components(links), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        sets = self.sets(buckets.select("id"))        # one reading of the texts for both comparisons
+        links = self.confirm(self.likely(spokes), sets)
+        members = buckets.join(components(links), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
         members = cut_lineage(members)
-        sizes = (members.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key")
-                 .agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("in_main"))
-                 .filter(F.col("all") > F.col("in_main"))
-                 .select("key", "main", F.ceil(F.col("all") / BLOCK).alias("n_y"),
-                         F.ceil((F.col("all") - F.col("in_main")) / BLOCK).alias("n_x")))
+        blocks = lambda k, n: F.ceil(F.greatest(k / BLOCK, n / BLOCK_SHINGLES))
+        sizes = (members.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n")).groupBy("key")
+                 .agg(F.max_by(F.struct("comp", "k", "n"), F.struct("k", "comp")).alias("m"), F.sum("k").alias("k"), F.sum("n").alias("n"))
+                 .filter(F.col("k") > F.col("m.k"))
+                 .select("key", F.col("m.comp").alias("main"), blocks(F.col("k"), F.col("n")).alias("n_y"),
+                         blocks(F.col("k") - F.col("m.k"), F.col("n") - F.col("m.n")).alias("n_x")))
         dealt = cut_lineage(members.join(cut_lineage(sizes), "key"))
-        sets = self.sets(dealt.select("id"))
         row = F.xxhash64("id")
         x = (dealt.filter(F.col("comp") != F.col("main")).withColumn("bx", F.pmod(row, F.col("n_x")))
              .withColumn("by", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_y") - 1))))
