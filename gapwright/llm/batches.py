@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-PIECE = 8 << 20             # bytes of text worked on at once
+PIECE = 4 << 20             # bytes of text worked on at once
 NO_ID = -(2 ** 63)          # stands for a null id inside packed records
 
 

@@ -30,9 +30,9 @@ from gapwright.llm.batches import coded, flat, pieces, ragged, texts_of
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_BYTES = 6 << 20
-SEEN_WORDS = 400_000
-LETTERS = 1 << 19           # letters of distinct words matched at once
+BATCH_BYTES = 3 << 20
+SEEN_WORDS = 200_000
+LETTERS = 1 << 18           # letters of distinct words matched at once
 LONG = 256                  # letters from which a word is walked alone, over its own edges
 
 
