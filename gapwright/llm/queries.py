@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm import decontaminate, html_extract, line_dedup, minhash, quality_rules, sentencepiece_bpe, sharding, substring_dedup, toxicity, training_order
+from gapwright.llm import (conversation, decontaminate, html_extract, line_dedup, minhash, ngram_join, quality_rules, sentencepiece_bpe, sharding, spelling,
+                           substring_dedup, toxicity, training_order)
 from gapwright.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -66,6 +67,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return conversation.repaired(_table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the vocabulary."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked at a similarity of 0.8 over 5-word shingles."""
+    return ngram_join.join_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_training_order": op1_training_order,
     "op2_quality_rules": op2_quality_rules,
@@ -77,4 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_ngram_join": op13_ngram_join,
 }
