@@ -148,6 +148,12 @@ def predict(masked: DataFrame, fits: DataFrame, methods: Sequence[str], keys: Se
         df = add_neighbours(df, [*cell, *keys], order,
                             after=interp, depth=interp, deep="interp_pchip" in methods)
     df = df.where("mask_bits > 0").join(fits, "well")
+    keep = [c for c in masked.columns if not c.startswith("x_")] + [c for c in ("config",) if c in fits.columns]
+    return _predicted(df, methods, keep, order)
+
+
+def _predicted(df: DataFrame, methods: Sequence[str], keep: Sequence[str], order: str) -> DataFrame:
+    """``keep`` and ``p_<method>_<log>`` of rows that carry knots, model inputs and the fits of their fold."""
     if "interp_pchip" in methods:
         df = add_slopes(df)
     chain = {m: chained(p) for m, p in (("ridge", "w"), ("mice", "b")) if m in methods}
@@ -165,10 +171,39 @@ def predict(masked: DataFrame, fits: DataFrame, methods: Sequence[str], keys: Se
                 "mice": lambda: chain["mice"][c],
             }[m]()
             cols.append(p.alias(f"p_{m}_{c}"))
-    keep = [c for c in masked.columns if not c.startswith("x_")] + [c for c in ("config",) if c in fits.columns]
     return df.select(*keep, *cols)
 
 
+def predict_runs(specs: DataFrame, methods: Sequence[str], size: int) -> DataFrame:
+    """Predictions of :func:`predict` at the masked positions of window rows.
+
+    ``specs`` holds the arrays ``a_<log>`` of an intact window, its mask (scenario, mask_seed, mask_bits, runs) and the fits of
+    its fold.  All positions outside the runs are measured, so the knots around a run are looked up at its ends; only masked
+    positions become rows and nothing is sorted or shuffled.
+    """
+    unknown = set(methods) - set(NATIVE)
+    if unknown:
+        raise ValueError(f"not a window imputer: {sorted(unknown)}")
+    arrays = [f"a_{c}" for c in COLS]
+    fits = [c for c in specs.columns if c not in {"well", "start", *arrays, *CELL, "mask_bits", "runs"}]
+    df = specs.select("well", "start", *CELL, "mask_bits", *arrays, *fits, F.explode("runs").alias("r"))
+    knots = []
+    if set(methods) & set(SEQUENTIAL):
+        sides = [("by", "bt", "r.a - 1"), ("ay", "at", "r.b")]
+        sides += [("boy", "bot", "r.before"), ("aoy", "aot", "r.after")] if "interp_pchip" in methods else []
+        for c in COLS:
+            for y, t, at in sides:
+                there = f"{at} >= 0 AND {at} < {size}"
+                knots += [F.expr(f"CASE WHEN {there} THEN a_{c}[{at}] END").alias(f"{y}_{c}"), F.expr(f"CASE WHEN {there} THEN {at} END").alias(f"{t}_{c}")]
+    # only the masked stretch of each array leaves the run's row
+    cut = F.arrays_zip(F.expr("sequence(r.a, r.b - 1)").alias("t"), *[F.slice(f"a_{c}", F.col("r.a") + 1, F.col("r.b") - F.col("r.a")).alias(c) for c in COLS])
+    df = df.select("well", "start", *CELL, "mask_bits", *fits, *knots, F.explode(F.array(cut)).alias("cut"))
+    df = df.select(*[c for c in df.columns if c != "cut"], F.inline("cut").alias("t", *COLS))
+    inputs = [F.when(~_bit(i), F.col(c)).alias(f"x_{c}") for i, c in enumerate(COLS)]
+    keep = ["well", "start", "t", *COLS, *CELL, "mask_bits"]
+    return _predicted(df.select("*", *inputs), methods, keep, "t")
+
+
 def to_points(pred: DataFrame, methods: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """One row per (position, masked channel, method): pred and truth."""
     per_log = [

@@ -50,24 +50,12 @@ def dataset_cooccur(cooccur_df: DataFrame) -> dict[int, float]:
     return {r["k"]: r["prob"] for r in cooccur_df.where(F.col("k").between(1, len(LOGS))).collect()}
 
 
-def mask_bits(df: DataFrame, scenarios: Sequence[str], size: int = WINDOW, n_points: int = N_POINTS,
-              lengths: Sequence[int] = BLOCK_LENGTHS, fraction: tuple[float, float] = BLACKOUT_FRACTION,
-              cooccur: Mapping[int, float] | None = None, allow_full: bool = True) -> DataFrame:
-    """Add ``mask_bits``: the channels masked at depth position ``t`` of each window row.
-
-    ``df`` carries well, start, t, scenario and ``mask_seed``.  Everything is row-local
-    arithmetic, so the incoming partitioning is kept.
-    """
-    for s in scenarios:
-        _check(s)
-    keep = df.columns
+def _placement(scenarios: Iterable[str], size: int, lengths: Sequence[int], fraction: tuple[float, float],
+               cooccur: Mapping[int, float] | None, allow_full: bool) -> tuple[str, str, str]:
+    """SQL over the draws ``_u0 ..``: masked channels, length and relative place of a mask, by scenario."""
     c = len(LOGS)
     full = (1 << c) - 1
     use = set(scenarios)
-    base = "CASE scenario " + " ".join(f"WHEN '{s}' THEN {SALT[s]}" for s in scenarios) + " END"
-    df = df.withColumn("_wkey", well_key(df)).withColumn("_salt", F.expr(f"mask_seed * 1000L + {base}"))
-    n_draws = max({"profile": 1, "block": 3, "blackout": 4, "single": n_points + 1}[s] for s in use)
-    df = with_draws(df, "_wkey", "start", "_salt", {f"_u{k}": k for k in range(n_draws)})
     one = f"shiftleft(1, CAST(floor(_u0 * {c}) AS INT))"
     cols, length, place = {s: one for s in use}, {}, {}
     if "profile" in use:
@@ -93,10 +81,68 @@ def mask_bits(df: DataFrame, scenarios: Sequence[str], size: int = WINDOW, n_poi
             return default
         return "CASE scenario " + " ".join(f"WHEN '{s}' THEN {e}" for s, e in table.items()) + f" ELSE {default} END"
 
+    return by_scenario(cols, "0"), by_scenario(length, "0"), by_scenario(place, "0.0D")
+
+
+def _drawn(df: DataFrame, scenarios: Sequence[str], n_points: int) -> DataFrame:
+    """Add the draws ``_u0 ..`` of each row's (well, start, scenario, mask seed)."""
+    base = "CASE scenario " + " ".join(f"WHEN '{s}' THEN {SALT[s]}" for s in scenarios) + " END"
+    df = df.withColumn("_wkey", well_key(df)).withColumn("_salt", F.expr(f"mask_seed * 1000L + {base}"))
+    n_draws = max({"profile": 1, "block": 3, "blackout": 4, "single": n_points + 1}[s] for s in scenarios)
+    return with_draws(df, "_wkey", "start", "_salt", {f"_u{k}": k for k in range(n_draws)})
+
+
+def mask_specs(windows: DataFrame, scenarios: Iterable[str] = SCENARIOS, mask_seeds: Iterable[int] = (0,), size: int = WINDOW,
+               n_points: int = N_POINTS, lengths: Sequence[int] = BLOCK_LENGTHS, fraction: tuple[float, float] = BLACKOUT_FRACTION,
+               cooccur: Mapping[int, float] | None = None, allow_full: bool = True) -> DataFrame:
+    """One row per (window, scenario, mask seed): the masked channels ``mask_bits`` and the maximal masked ``runs``.
+
+    A run is a struct (a, b, before, after): positions a to b - 1 are masked, and the knots beyond the two next to the run lie
+    at ``before`` < a - 1 and ``after`` > b (-1 or ``size`` and more where the window ends).  The masks are those of
+    :func:`mask_bits`; no sample is touched.
+    """
+    scenarios = list(scenarios)
+    for s in scenarios:
+        _check(s)
+    keep = windows.columns
+    cells = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(int(m)).alias("mask_seed")) for s in scenarios for m in mask_seeds])
+    df = _drawn(windows.select(*keep, F.inline(cells)), scenarios, n_points)
+    bits, length, place = _placement(scenarios, size, lengths, fraction, cooccur, allow_full)
+    points = ("array_sort(array_distinct(array(" + ", ".join(f"CAST(floor(_u{k} * {size}) AS INT)" for k in range(1, n_points + 1)) + ")))"
+              if "single" in scenarios else "CAST(array() AS array<int>)")
+    df = df.select(*keep, "scenario", "mask_seed", F.expr(bits).cast("int").alias("mask_bits"), F.expr(length).alias("_len"), F.expr(place).alias("_place"),
+                   F.expr(f"CASE WHEN scenario = 'single' THEN {points} END").alias("_p"))
+    # each level is emitted by a one-element generator, so that it is a finished column for the next one and not a copy of its text
+    settled = lambda d, *cols: d.select(*[c for c in d.columns if c not in cols], F.inline(F.array(F.struct(*cols))))
+    df = settled(df, "mask_bits", "_len", "_place", "_p")
+    df = df.withColumn("_from", F.expr(f"CAST(floor(_place * ({size} - _len + 1)) AS INT)"))
+    ends = "filter(_p, x -> NOT array_contains(_p, x + {}))"
+    df = df.withColumn("_a", F.expr(f"CASE WHEN scenario = 'single' THEN {ends.format(-1)} ELSE array(_from) END"))
+    df = df.withColumn("_b", F.expr(f"CASE WHEN scenario = 'single' THEN transform({ends.format(1)}, x -> x + 1) ELSE array(CAST(_from + _len AS INT)) END"))
+    df = settled(df, "_a", "_b")
+    runs = ("transform(_a, (a, i) -> named_struct('a', a, 'b', _b[i], "
+            "'before', CASE WHEN i > 0 AND _b[i - 1] = a - 1 THEN _a[i - 1] - 1 ELSE a - 2 END, "
+            "'after', CASE WHEN i + 1 < size(_a) AND _a[i + 1] = _b[i] + 1 THEN _b[i + 1] ELSE _b[i] + 1 END))")
+    return df.select(*keep, "scenario", "mask_seed", "mask_bits", F.explode(F.array(F.expr(runs))).alias("runs"))
+
+
+def mask_bits(df: DataFrame, scenarios: Sequence[str], size: int = WINDOW, n_points: int = N_POINTS,
+              lengths: Sequence[int] = BLOCK_LENGTHS, fraction: tuple[float, float] = BLACKOUT_FRACTION,
+              cooccur: Mapping[int, float] | None = None, allow_full: bool = True) -> DataFrame:
+    """Add ``mask_bits``: the channels masked at depth position ``t`` of each window row.
+
+    ``df`` carries well, start, t, scenario and ``mask_seed``.  Everything is row-local
+    arithmetic, so the incoming partitioning is kept.
+    """
+    for s in scenarios:
+        _check(s)
+    keep = df.columns
+    df = _drawn(df, scenarios, n_points)
+    cols_sql, len_sql, place_sql = _placement(scenarios, size, lengths, fraction, cooccur, allow_full)
     hits = (" OR ".join(f"t = CAST(floor(_u{k} * {size}) AS INT)" for k in range(1, n_points + 1))
-            if "single" in use else "false")
-    df = df.select(*keep, F.expr(by_scenario(cols, "0")).alias("_cols"),
-                   F.expr(by_scenario(length, "0")).alias("_len"), F.expr(by_scenario(place, "0.0D")).alias("_place"),
+            if "single" in scenarios else "false")
+    df = df.select(*keep, F.expr(cols_sql).alias("_cols"),
+                   F.expr(len_sql).alias("_len"), F.expr(place_sql).alias("_place"),
                    F.expr(f"scenario = 'single' AND ({hits})").alias("_hit"))
     df = df.withColumn("_from", F.expr(f"CAST(floor(_place * ({size} - _len + 1)) AS INT)"))
     inside = (F.col("t") >= F.col("_from")) & (F.col("t") < F.col("_from") + F.col("_len"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..constants import RIDGE_ALPHA, STRIDE, WINDOW
 from .cleaning import COLS
 from .masking import _with_scalar
-from .windows import _candidates
+from .windows import _candidates, blocks, by_window
 
 #: values are centred on these before summing, so subtraction does not cancel digits
 CENTRE = {"gr": 75.0, "rhob": 2.4, "nphi": 0.25}
@@ -29,16 +29,24 @@ def _centred(c: str) -> Column:
 def window_moments(samples: DataFrame, size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
     """Additive moments of every intact window: (well, start, n, sums, cross products).
 
-    Rows are combined map-side; only one row per window crosses the network.
+    Samples are combined into blocks of one stride (map-side first) and blocks into windows, so overlap copies no sample.
     """
-    return (
-        _candidates(samples.select("well", "idx", *COLS), size, stride)
-        .groupBy("well", "start").agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(_centred(c)).alias(f"s_{c}") for c in COLS],
-            *[F.sum(_centred(a) * _centred(b)).alias(f"q_{a}_{b}") for a, b in PAIRS])
-        .where(F.col("n") == size)
-    )
+    if size % stride:
+        return (_candidates(samples.select("well", "idx", *COLS), size, stride).groupBy("well", "start")
+                .agg(F.count(F.lit(1)).alias("n"), *moment_sums()).where(F.col("n") == size))
+    return moments_of_blocks(blocks(samples.select("well", "idx", *COLS), moment_sums(), stride), size, stride)
+
+
+def moment_sums() -> list[Column]:
+    """The additive moments as aggregates."""
+    return [*[F.sum(_centred(c)).alias(f"s_{c}") for c in COLS], *[F.sum(_centred(a) * _centred(b)).alias(f"q_{a}_{b}") for a, b in PAIRS]]
+
+
+def moments_of_blocks(block_rows: DataFrame, size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """Moments of every intact window from those of its blocks."""
+    parts = by_window(block_rows.select("well", "blk", *MOMENTS[1:]), size, stride)
+    whole = parts.groupBy("well", "start").agg((F.count(F.lit(1)) * stride).alias("n"), *[F.sum(m).alias(m) for m in MOMENTS[1:]])
+    return whole.where(F.col("n") == size)
 
 
 def well_moments(wm: DataFrame) -> DataFrame:

@@ -47,6 +47,39 @@ def window_samples(samples: DataFrame, size: int = WINDOW, stride: int = STRIDE)
     )
 
 
+def blocks(samples: DataFrame, aggregates: list[Column], stride: int = STRIDE) -> DataFrame:
+    """(well, blk, aggregates) of the stride-aligned blocks with every sample and channel measured.
+
+    Windows overlap but blocks do not: each sample is grouped once, and a window is ``size / stride`` block rows.
+    """
+    whole = samples.where(complete() & (F.col("idx") >= 0)).withColumn("blk", F.expr(f"idx div {stride}"))
+    return whole.groupBy("well", "blk").agg(F.count(F.lit(1)).alias("_n"), *aggregates).where(F.col("_n") == stride).drop("_n")
+
+
+def by_window(block_rows: DataFrame, size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """Block rows under the ``start`` of each window they belong to."""
+    per = size // stride
+    first = f"greatest(0, blk - {per - 1})"
+    return block_rows.withColumn("start", F.explode(F.expr(f"transform(sequence({first}, blk), k -> k * {stride})")))
+
+
+def sample_arrays() -> Column:
+    """The samples of a block in depth order, as an aggregate for :func:`blocks`."""
+    return F.sort_array(F.collect_list(F.struct("idx", *COLS))).alias("rows")
+
+
+def window_arrays(block_rows: DataFrame, size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """Intact windows as one row each: (well, start, a_gr, a_rhob, a_nphi), the arrays indexed by depth position.
+
+    ``block_rows`` are :func:`blocks` with :func:`sample_arrays`.  The number of partitions is fixed: these rows are few and
+    small, and the work on each comes after them, so coalescing by bytes would leave cores idle.
+    """
+    per, width = size // stride, int(block_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = by_window(block_rows.select("well", "blk", "rows"), size, stride).repartition(width, "well", "start")
+    whole = parts.groupBy("well", "start").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("blk", "rows"))), lambda x: x["rows"])).alias("rows"))
+    return whole.where(F.size("rows") == per * stride).select("well", "start", *[F.col(f"rows.{c}").alias(f"a_{c}") for c in COLS])
+
+
 def folds(windows: DataFrame) -> DataFrame:
     """Leave-one-well-out folds: (fold_id, test_well), fold order = well order.
 

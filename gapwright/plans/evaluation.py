@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SCENARIOS, STRIDE, WINDOW
-from ..operators.imputers import predict, to_points
-from ..operators.masking import apply_masks
+from ..operators.cleaning import COLS
+from ..operators.imputers import predict, predict_runs, to_points
+from ..operators.masking import apply_masks, mask_specs
 from ..operators.metrics import stats_from_predictions
-from ..operators.scaling import fold_fits, fold_moments
-from ..operators.windows import window_samples
+from ..operators.scaling import fold_fits, fold_moments, leave_one_out, moment_sums, moments_of_blocks, well_moments
+from ..operators.windows import blocks, sample_arrays, window_arrays, window_samples
+from ..session import cut_lineage
 
 
 def predictions(samples: DataFrame, methods: Sequence[str], scenarios: Sequence[str] = SCENARIOS,
@@ -21,8 +23,16 @@ def predictions(samples: DataFrame, methods: Sequence[str], scenarios: Sequence[
 
     The held-out well of a fold is the row's own well; its training statistics are the
     leave-one-out moments.  Masks depend only on (well, start, scenario, mask seed), so
-    every method is scored on identical positions.
+    every method is scored on identical positions.  A window is one row of arrays, a mask one row of runs; the fits are
+    attached to narrow (well, start) rows first, so no wide row is ever partitioned by its well alone.
     """
+    if size % stride == 0:
+        rows = cut_lineage(blocks(samples.select("well", "idx", *COLS), [sample_arrays(), *moment_sums()], stride))
+        moments = moments_of_blocks(rows, size, stride)
+        fits = fold_fits(leave_one_out(well_moments(moments)), tuple(methods))
+        per_window = moments.select("well", "start").join(fits, "well")
+        windows = window_arrays(rows, size, stride).join(per_window, ["well", "start"])
+        return predict_runs(mask_specs(windows, scenarios, mask_seeds, size, **kw), methods, size)
     fits = fold_fits(fold_moments(samples, size, stride), tuple(methods))
     masked = apply_masks(window_samples(samples, size, stride), scenarios, mask_seeds, size, **kw)
     return predict(masked, fits, methods)

@@ -274,3 +274,33 @@ def test_whole_queries_take_everything(spark, sf):
     assert same.exceptAll(one).count() == one.exceptAll(same).count() == 0
     for k in ("whole_idw", "whole_nnwell", "impute_okrige"):
         assert {r.scenario for r in QUERIES[k](spark, sf).select("scenario").distinct().collect()} == set(SCENARIOS)
+
+
+@pytest.mark.parametrize("size", [256, 64])
+def test_runs_give_the_predictions_of_rows(samples, size):
+    """Masks as runs over window arrays against masks as rows with ordered scans, for every method and scenario."""
+    from gapwright.plans.evaluation import predictions
+    methods = list(im.NATIVE)
+    new = predictions(samples, methods, mask_seeds=(0, 3), size=size, stride=size // 4)
+    masked = mk.apply_masks(wn.window_samples(samples, size, size // 4), mask_seeds=(0, 3), size=size)
+    fits = sc.fold_fits(sc.fold_moments(samples, size, size // 4), tuple(methods))
+    old = im.predict(masked, fits, methods)
+    keys = ["scenario", "mask_seed", "well", "start", "t"]
+    preds = [c for c in old.columns if c.startswith("p_")]
+    assert sorted(new.columns) == sorted(old.columns)
+    a, b = (d.select(*keys, "mask_bits", "gr", *preds).toPandas().sort_values(keys).reset_index(drop=True) for d in (new, old))
+    assert len(a) == len(b) > 1000 and (a[[*keys, "mask_bits", "gr"]] == b[[*keys, "mask_bits", "gr"]]).all().all()
+    for i, c in enumerate(("gr", "rhob", "nphi")):
+        hit = (a.mask_bits.to_numpy() >> i & 1) > 0
+        for p in (p for p in preds if p.endswith(f"_{c}")):
+            np.testing.assert_allclose(a[p][hit], b[p][hit], rtol=1e-9, atol=1e-9, err_msg=p)
+
+
+def test_adjacent_single_points_become_one_run(samples):
+    """Short windows make neighbouring and equal draws common; runs never touch and knots beyond skip masked points."""
+    w = wn.window_samples(samples, 8, 4).select("well", "start").distinct()
+    for r in mk.mask_specs(w, ["single"], range(3), size=8, n_points=5).collect():
+        hit = {t for x in r.runs for t in range(x.a, x.b)}
+        assert all(x.b < y.a for x, y in zip(r.runs, r.runs[1:]))
+        for x in r.runs:
+            assert x.before == max([t for t in range(-9, x.a - 1) if t not in hit]) and x.after == min([t for t in range(x.b + 1, 20) if t not in hit])
