@@ -213,8 +213,9 @@ def long_rows():
     return near_rows() + rows + short
 
 
-@pytest.mark.parametrize("rows", [long_rows, odd_rows])
-def test_join_matches_brute_force(spark, rows):
+@pytest.mark.parametrize("rows, few", [(long_rows, 64), (long_rows, 0), (odd_rows, 64)])
+def test_join_matches_brute_force(spark, rows, few, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", few)      # 0: every member with partners goes the way of crowded ones
     rows = rows()
     d = spark.createDataFrame([tuple(r) + (None,) * (7 - len(r)) for r in rows], SCHEMA).withColumnRenamed("shard", "node").repartition(5)
     got = ngram_join.join_documents(d).collect()
