@@ -80,6 +80,40 @@ def carry(df: DataFrame, groups: Sequence[str], order: str, cols: Sequence[str],
                                   F.coalesce(f"_la_{c}", f"_oa_{c}").alias(f"{prefix}at_{c}"))])
 
 
+def carry_two(df: DataFrame, groups: Sequence[str], order: str, cols: Sequence[str], forward: bool = True) -> DataFrame:
+    """The two nearest observed values before (or after) each row, the row itself excluded, over whole groups.
+
+    For every column ``c`` adds value and position of the nearest one (``by_c, bt_c``) and of the one beyond it
+    (``boy_c, bot_c``); with ``forward=False`` the first letter is ``a``.  A chunk's summary is its outermost two; one with
+    a single observed value takes its second from the chunks behind it, so summaries chain like rows do.
+    """
+    side = "b" if forward else "a"
+    keys = [*groups, "chunk"]
+    frame = Window.partitionBy(*keys).orderBy(F.col(order) if forward else F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*groups).orderBy(F.col("chunk") if forward else F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    edge, place = (F.max_by, F.max) if forward else (F.min_by, F.min)
+
+    def at(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.col(order))
+
+    near = df.select("*", *[x for c in cols for x in (F.last(F.col(c), True).over(frame).alias(f"_ly_{c}"),
+                                                      F.last(at(c), True).over(frame).alias(f"_lt_{c}"))])
+    local = near.select("*", *[F.last(F.when(F.col(c).isNotNull(), F.col(f"_l{k}_{c}")), True).over(frame).alias(f"_m{k}_{c}")
+                               for c in cols for k in "yt"])
+    ends = local.groupBy(*keys).agg(*[x for c in cols for x in (
+        edge(F.col(c), at(c)).alias(f"_y_{c}"), place(at(c)).alias(f"_t_{c}"),
+        edge(F.col(f"_ly_{c}"), at(c)).alias(f"_oy_{c}"), edge(F.col(f"_lt_{c}"), at(c)).alias(f"_ot_{c}"))])
+    ends = ends.select("*", *[F.last(f"_{k}_{c}", True).over(outer).alias(f"_p{k}_{c}") for c in cols for k in "yt"])
+    ends = ends.select(*keys, *[f"_p{k}_{c}" for c in cols for k in "yt"], *[
+        F.last(F.when(F.col(f"_t_{c}").isNotNull(), F.coalesce(f"_o{k}_{c}", f"_p{k}_{c}")), True).over(outer).alias(f"_q{k}_{c}")
+        for c in cols for k in "yt"])
+    out = local.join(ends, keys)
+    return out.select(*df.columns, *[
+        x for c in cols for k in "yt" for x in (
+            F.coalesce(f"_l{k}_{c}", f"_p{k}_{c}").alias(f"{side}{k}_{c}"),
+            F.coalesce(f"_m{k}_{c}", F.when(F.col(f"_lt_{c}").isNotNull(), F.col(f"_p{k}_{c}")).otherwise(F.col(f"_q{k}_{c}"))).alias(f"{side}o{k}_{c}"))])
+
+
 def chunk_runs(df: DataFrame, groups: Sequence[str], order: str, label: str) -> DataFrame:
     """Maximal runs of a constant non-null label inside each chunk: (label, start, end)."""
     keys = [*groups, "chunk"]

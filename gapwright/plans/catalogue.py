@@ -256,6 +256,18 @@ def impute_interp_well(spark, d):
     return rnd(em.fill_well(s, "interp_linear", sc.fold_scaler(s)), gr=6, rhob=6, nphi=6)
 
 
+@query
+def impute_pchip_well(spark, d):
+    s = tb.well_samples(spark, d)
+    return rnd(em.fill_well(s, "interp_pchip", sc.fold_scaler(s)), gr=6, rhob=6, nphi=6)
+
+
+@query
+def empirical_pchip(spark, d):
+    pts = em.evaluate_empirical(tb.well_samples(spark, d), ("interp_pchip",), 5)
+    return _by_log(mt.sufficient_stats(pts, ["method", "log", "well"]).select("method", "log", "well", "n", "sse", "sae"), "sse", "sae")
+
+
 @query
 def overlap_avg(spark, d):
     s = tb.well_samples(spark, d)

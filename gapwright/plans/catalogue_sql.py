@@ -319,6 +319,40 @@ cte("em_well", "emp2 nbr s scl", " UNION ALL ".join(
 cte("em_pts", "em_win em_well", """SELECT 'locf_win' AS method, log, well, pred, truth FROM em_win UNION ALL SELECT 'locf', log, well, locf, truth FROM em_well
   UNION ALL SELECT 'interp_linear', log, well, lin, truth FROM em_well""")
 
+def cubic(name: str, src: str) -> None:
+    """Shape-preserving cubic at ``x`` between knots (x1, y1) and (x2, y2), with (x0, y0) and (x3, y3) beyond them."""
+    end = lambda h, g, m, n: (f"CASE WHEN sign(((2 * {h} + {g}) * {m} - {h} * {n}) / ({h} + {g})) <> sign({m}) THEN 0 "
+                              f"WHEN sign({m}) <> sign({n}) AND abs(((2 * {h} + {g}) * {m} - {h} * {n}) / ({h} + {g})) > 3 * abs({m}) THEN 3 * {m} "
+                              f"ELSE ((2 * {h} + {g}) * {m} - {h} * {n}) / ({h} + {g}) END")
+    mid = lambda h, g, m, n: f"CASE WHEN {m} * {n} <= 0 THEN 0 ELSE 3 * ({h} + {g}) / ((2 * {g} + {h}) / {m} + ({g} + 2 * {h}) / {n}) END"
+    cte(name + "_m", src, f"SELECT *, (y1 - y0) / h0 AS m0, (y2 - y1) / h1 AS m1, (y3 - y2) / h2 AS m2 FROM "
+                          f"(SELECT *, (x1 - x0)::DOUBLE AS h0, (x2 - x1)::DOUBLE AS h1, (x3 - x2)::DOUBLE AS h2 FROM {src})")
+    cte(name + "_d", name + "_m", f"""SELECT *, CASE WHEN m0 IS NOT NULL THEN {mid('h0', 'h1', 'm0', 'm1')} WHEN m2 IS NOT NULL THEN {end('h1', 'h2', 'm1', 'm2')} END AS d1,
+      CASE WHEN m2 IS NOT NULL THEN {mid('h1', 'h2', 'm1', 'm2')} WHEN m0 IS NOT NULL THEN {end('h1', 'h0', 'm1', 'm0')} END AS d2 FROM {name}_m""")
+    cte(name, name + "_d", f"""SELECT *, CASE WHEN m1 IS NULL THEN coalesce(y1, y2) WHEN d1 IS NULL OR d2 IS NULL THEN y1 + m1 * (x - x1)
+      ELSE y1 + (x - x1) * (d1 + (x - x1) / h1 * (3 * m1 - 2 * d1 - d2 + (x - x1) / h1 * (d1 + d2 - 2 * m1))) END AS cub FROM {name}_d""")
+
+
+def four(lo: str, hi: str) -> str:
+    """Joins of the knots numbered ``lo - 1``, ``lo``, ``hi`` and ``hi + 1``."""
+    return " ".join(f"LEFT JOIN knots k{i} ON k{i}.well = p.well AND k{i}.log = p.log AND k{i}.ord = {o}" for i, o in enumerate((f"{lo} - 1", lo, hi, f"{hi} + 1")))
+
+
+KNOTS = ", ".join(f"k{i}.idx AS x{i}, k{i}.y AS y{i}" for i in range(4))
+cte("knots", "s", " UNION ALL ".join(
+    f"SELECT well, '{c.upper()}' AS log, idx, {c} AS y, row_number() OVER (PARTITION BY well ORDER BY idx) AS ord FROM s WHERE {c} IS NOT NULL" for c in COLS))
+cte("seen", "s", "SELECT well, idx, " + ", ".join(f"count({c}) OVER (PARTITION BY well ORDER BY idx) AS k_{c}, {c}" for c in COLS) + " FROM s")
+cte("holes", "seen", " UNION ALL ".join(f"SELECT well, '{c.upper()}' AS log, idx AS x, k_{c} AS k FROM seen WHERE {c} IS NULL" for c in COLS))
+cte("hole_knots", "holes knots", f"SELECT p.well, p.log, p.x, {KNOTS} FROM holes p {four('k', 'k + 1')}")
+cubic("hole_cubic", "hole_knots")
+cte("em5", "emp5 seen", " UNION ALL ".join(
+    f"""SELECT e.well, seg_start, rep, '{c.upper()}' AS log, mask_from, mask_to, a.k_{c} - 1 AS lo, b.k_{c} + 1 AS hi
+    FROM emp5 e JOIN seen a ON a.well = e.well AND a.idx = mask_from JOIN seen b ON b.well = e.well AND b.idx = mask_to - 1 WHERE mask_cols & {1 << i} > 0""" for i, c in enumerate(COLS)))
+cte("em5_knots", "em5 knots", f"SELECT p.well, p.log, t.idx AS x, t.y AS truth, {KNOTS} FROM em5 p JOIN knots t ON t.well = p.well AND t.log = p.log AND t.idx >= mask_from AND t.idx < mask_to {four('lo', 'hi')}")
+cubic("em5_cubic", "em5_knots")
+cte("em5_pts", "em5_cubic scl", "SELECT 'interp_pchip' AS method, log, p.well, coalesce(cub, CASE log "
+    + " ".join(f"WHEN '{c.upper()}' THEN mu_{c}" for c in COLS) + " END) AS pred, truth FROM em5_cubic p JOIN scl ON scl.well = p.well")
+
 # --- tests --------------------------------------------------------------------------------------------------------
 AVGR = "rank() OVER (PARTITION BY {p} ORDER BY {v}) + (count(*) OVER (PARTITION BY {p}, {v0}) - 1) / 2.0"
 TIE = "count(*) OVER (PARTITION BY {p}, {v})"
@@ -411,6 +445,9 @@ ORACLES |= {
     "impute_interp_well": build("SELECT s.well, s.idx, " + ", ".join(
         f"round(coalesce({c}, CASE WHEN by_{c} IS NOT NULL AND ay_{c} IS NOT NULL THEN by_{c} + (ay_{c} - by_{c}) * (s.idx - bt_{c}) / (at_{c} - bt_{c})::DOUBLE ELSE coalesce(by_{c}, ay_{c}) END, mu_{c}), 6) AS {c}"
         for c in COLS) + " FROM s JOIN nbr n ON s.well = n.well AND s.idx = n.idx JOIN scl ON s.well = scl.well", "s", "nbr", "scl"),
+    "impute_pchip_well": build("SELECT s.well, s.idx, " + ", ".join(f"round(coalesce(s.{c}, q_{c}.cub, mu_{c}), 6) AS {c}" for c in COLS) + " FROM s JOIN scl ON s.well = scl.well "
+                               + " ".join(f"LEFT JOIN hole_cubic q_{c} ON q_{c}.well = s.well AND q_{c}.x = s.idx AND q_{c}.log = '{c.upper()}'" for c in COLS), "s", "scl", "hole_cubic"),
+    "empirical_pchip": build("SELECT method, log, well, count(*) AS n, round(sum((pred - truth) * (pred - truth)), CASE WHEN log = 'GR' THEN 3 ELSE 6 END) AS sse, round(sum(abs(pred - truth)), CASE WHEN log = 'GR' THEN 3 ELSE 6 END) AS sae FROM em5_pts GROUP BY method, log, well", "em5_pts"),
     "overlap_avg": build("SELECT well, seg_start, rep, idx, log, round(pred, 5) AS pred FROM em_win", "em_win"),
     "empirical_blackout": build("SELECT method, log, well, count(*) AS n, round(sum((pred - truth) * (pred - truth)), CASE WHEN log = 'GR' THEN 3 ELSE 6 END) AS sse, round(sum(abs(pred - truth)), CASE WHEN log = 'GR' THEN 3 ELSE 6 END) AS sae FROM em_pts GROUP BY method, log, well", "em_pts"),
     "entry_slice": build(f"""SELECT method, scenario, log, {r('mae', 6)}, {r('rmse', 6)}, {r('r2', 6)}, {r('cc', 6)}, n FROM (

@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import EMPIRICAL, LOGS, WINDOW
-from ..functions.ordered import CHUNK, carry
+from ..functions.ordered import CHUNK, carry, carry_two
 from ..operators.cleaning import COLS
-from ..operators.imputers import predict, to_points
+from ..operators.imputers import add_slopes, interp_linear, interp_pchip, locf, predict, to_points
 from ..operators.masking import empirical_masks, interval_catalogue, with_inputs
 from ..operators.missingness import code_runs, intact_segments, intervals
 from ..operators.scaling import fold_fits, fold_moments
 from ..operators.windows import overlap_average, tile_segments
 
 #: imputers that may look outside the segment
-WHOLE_WELL = ("locf", "interp_linear")
+WHOLE_WELL = ("locf", "interp_linear", "interp_pchip")
 
 
 def plan_masks(samples: DataFrame, reps: int = 5, mask_seed: int = 0, size: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
@@ -36,22 +36,29 @@ def whole_well(samples: DataFrame, masks: DataFrame, fits: DataFrame, methods: S
     """Predictions that see the complete well around each masked interval.
 
     One interval is hidden at a time, so its carry-forward value is the last measured sample
-    above it and interpolation needs just the nearest measured samples on both sides: two
-    lookups per interval instead of a scan per position.
+    above it and interpolation needs just the nearest measured samples on both sides (two on each
+    side for the cubic): lookups per interval instead of a scan per position.
     """
     s = samples.select("well", "chunk", "idx", *COLS)
-    above = carry(s, ["well"], "idx", COLS, forward=True, strict=True)
-    up = above.select("well", F.col("idx").alias("mask_from"), *[
-        F.col(f"prev_{k}{c}").alias(f"b{v}_{c}") for c in COLS for k, v in (("", "y"), ("at_", "t"))])
-    planned = masks.join(up, ["well", "mask_from"])
-    if "interp_linear" in methods:
-        below = carry(s, ["well"], "idx", COLS, forward=False, strict=True)
-        down = below.select("well", (F.col("idx") + 1).alias("mask_to"), *[
-            F.col(f"next_{k}{c}").alias(f"a{v}_{c}") for c in COLS for k, v in (("", "y"), ("at_", "t"))])
-        planned = planned.join(down, ["well", "mask_to"])
+    deep = "interp_pchip" in methods
+    kinds = ("y", "t", "oy", "ot") if deep else ("y", "t")
+
+    def knots(forward: bool) -> DataFrame:
+        if deep:
+            return carry_two(s, ["well"], "idx", COLS, forward)
+        side, old = ("b", "prev_") if forward else ("a", "next_")
+        near = carry(s, ["well"], "idx", COLS, forward, strict=True)
+        return near.select("well", "idx", *[F.col(f"{old}{k}{c}").alias(f"{side}{v}_{c}") for c in COLS for k, v in (("", "y"), ("at_", "t"))])
+
+    above = knots(True).select("well", F.col("idx").alias("mask_from"), *[f"b{k}_{c}" for c in COLS for k in kinds])
+    planned = masks.join(above, ["well", "mask_from"])
+    if deep or "interp_linear" in methods:
+        below = knots(False).select("well", (F.col("idx") + 1).alias("mask_to"), *[f"a{k}_{c}" for c in COLS for k in kinds])
+        planned = planned.join(below, ["well", "mask_to"])
+    if deep:
+        planned = add_slopes(planned)               # slopes belong to the interval, not to its positions
     pos = masked_positions(samples, planned).join(fits, "well").withColumn("mask_bits", F.col("mask_cols"))
-    from ..operators.imputers import interp_linear, locf
-    expr = {"locf": locf, "interp_linear": lambda c: interp_linear(c, "idx")}
+    expr = {"locf": locf, "interp_linear": lambda c: interp_linear(c, "idx"), "interp_pchip": lambda c: interp_pchip(c, "idx")}
     return pos.select(*_keys(), "mask_bits", *COLS, *[
         F.coalesce(expr[m](c), F.col(f"mu_{c}")).alias(f"p_{m}_{c}") for m in methods for c in COLS])
 
@@ -95,24 +102,27 @@ def evaluate_empirical(samples: DataFrame, methods: Sequence[str], reps: int = 5
 
 
 def fill_well(samples: DataFrame, method: str, fits: DataFrame) -> DataFrame:
-    """Natural gaps of every well filled by carry-forward or linear interpolation."""
+    """Natural gaps of every well filled by carry-forward, linear or shape-preserving cubic interpolation.
+
+    Beyond the outermost samples interpolation is constant; the cubic needs three samples of a log and is linear below.
+    A log without samples takes the mean of ``fits``.
+    """
     s = samples.select("well", "chunk", "idx", *COLS)
-    df = carry(s, ["well"], "idx", COLS, forward=True)
-    if method == "interp_linear":
-        df = carry(df, ["well"], "idx", COLS, forward=False)
-    elif method != "locf":
+    if method == "locf":
+        df = carry(s, ["well"], "idx", COLS, forward=True, strict=True)
+        guess = {c: F.col(f"prev_{c}") for c in COLS}
+    elif method == "interp_linear":
+        df = carry(carry(s, ["well"], "idx", COLS, strict=True), ["well"], "idx", COLS, forward=False, strict=True)
+        df = df.select("well", "idx", *COLS, *[F.col(f"{old}{c}").alias(f"{new}_{c}") for c in COLS for old, new in
+                                               (("prev_", "by"), ("prev_at_", "bt"), ("next_", "ay"), ("next_at_", "at"))])
+        guess = {c: interp_linear(c, "idx") for c in COLS}
+    elif method == "interp_pchip":
+        df = add_slopes(carry_two(carry_two(s, ["well"], "idx", COLS), ["well"], "idx", COLS, forward=False))
+        guess = {c: interp_pchip(c, "idx") for c in COLS}
+    else:
         raise ValueError(method)
-
-    def fill(c: str) -> Column:
-        if method == "locf":
-            guess = F.col(f"prev_{c}")
-        else:
-            p, n, pa, na = (F.col(f"{k}{c}") for k in ("prev_", "next_", "prev_at_", "next_at_"))
-            guess = F.when(p.isNotNull() & n.isNotNull(), p + (n - p) * (F.col("idx") - pa) / F.greatest(na - pa, F.lit(1))
-                           ).otherwise(F.coalesce(p, n))
-        return F.coalesce(F.col(c), guess, F.col(f"mu_{c}")).alias(c)
-
-    return df.join(fits.select("well", *[f"mu_{c}" for c in COLS]), "well", "left").select("well", "idx", *[fill(c) for c in COLS])
+    fill = [F.coalesce(F.col(c), guess[c], F.col(f"mu_{c}")).alias(c) for c in COLS]
+    return df.join(fits.select("well", *[f"mu_{c}" for c in COLS]), "well", "left").select("well", "idx", *fill)
 
 
 __all__ = ["plan_masks", "whole_well", "windowed", "evaluate_empirical", "fill_well", "LOGS"]

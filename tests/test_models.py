@@ -11,6 +11,8 @@ from gapwright.operators import scaling as sc
 from gapwright.operators import spatial as sp
 from gapwright.operators import windows as wn
 from gapwright.operators.learners import TreeImputer, knn_impute
+from gapwright.functions.ordered import with_chunk
+from gapwright.plans import empirical as em
 from gapwright.plans.evaluation import evaluate, evaluate_stats
 from gapwright.operators.metrics import sufficient_stats
 from gapwright.sources import files
@@ -304,3 +306,30 @@ def test_adjacent_single_points_become_one_run(samples):
         assert all(x.b < y.a for x, y in zip(r.runs, r.runs[1:]))
         for x in r.runs:
             assert x.before == max([t for t in range(-9, x.a - 1) if t not in hit]) and x.after == min([t for t in range(x.b + 1, 20) if t not in hit])
+
+
+@pytest.mark.parametrize("chunk", [5, 64])
+def test_whole_well_cubic_crosses_chunks(spark, chunk):
+    """Gaps at both ends, gaps over chunk borders, a log with two samples and one without any."""
+    rng = np.random.default_rng(11)
+    n = 200
+    v = np.cumsum(rng.normal(size=(2, n, 3)), axis=1)
+    for w in range(2):
+        for a, b, c in ((0, 7, 0), (20, 60, 0), (61, 62, 0), (190, 200, 0), (3, 9, 1), (100, 131, 1), (0, 50, 2), (51, 180, 2), (181, 200, 2)):
+            v[w, a:b, c] = np.nan
+    v[1, :, 1] = np.nan
+    rows = [(str(w), i, *[None if np.isnan(x) else float(x) for x in v[w, i]]) for w in range(2) for i in range(n)]
+    s = with_chunk(spark.createDataFrame(rows, "well string, idx bigint, gr double, rhob double, nphi double"), size=chunk)
+    fits = spark.createDataFrame([("0", 1.0, 2.0, 3.0), ("1", 1.0, 2.0, 3.0)], "well string, mu_gr double, mu_rhob double, mu_nphi double")
+    got = em.fill_well(s, "interp_pchip", fits).toPandas()
+    t = np.arange(n, dtype=float)
+    for w in range(2):
+        g = got[got.well == str(w)].sort_values("idx")
+        for k, c in enumerate(("gr", "rhob", "nphi")):
+            x = v[w, :, k]
+            o = np.flatnonzero(~np.isnan(x))
+            want = np.full(n, 2.0) if not len(o) else np.interp(t, o, x[o])
+            if len(o) > 2:
+                inside = (t > o[0]) & (t < o[-1])
+                want = np.where(inside, _pchip(o.astype(float), x[o], t), want)
+            np.testing.assert_allclose(g[c], np.where(np.isnan(x), want, x), rtol=1e-7, atol=1e-9)

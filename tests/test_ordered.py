@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapwright.functions.neighbours import knn
-from gapwright.functions.ordered import carry, ordinal, with_chunk
+from gapwright.functions.ordered import carry, carry_two, ordinal, with_chunk
 from gapwright.functions.ranks import average_rank, exact_percentiles
 from gapwright.operators import missingness as ms
 from gapwright.operators.cleaning import depth_qc
@@ -123,3 +123,19 @@ def test_missingness_golden_shares(spark):
     assert (s[1].pct, s[2].pct) == (13.0, 87.0) and s[2].prob == pytest.approx(100 / 115)
     i = {r.k: r.pct for r in ms.cooccur_intervals(ms.intervals(ms.code_runs(df), 32)).collect()}
     assert (i[1], i[2], i[3]) == (75.0, 25.0, 0.0)
+
+
+@pytest.mark.parametrize("forward", [True, False])
+@pytest.mark.parametrize("size", [3, 16, 1000])
+def test_two_deep_carry_crosses_chunks(spark, frame, forward, size):
+    got = carry_two(as_spark(spark, frame, size), ["well"], "idx", ["gr", "nphi"], forward).toPandas()
+    side = "b" if forward else "a"
+    for w, part in got.groupby("well"):
+        part = part.sort_values("idx")
+        for c in ("gr", "nphi"):
+            knots = [(int(i), v) for i, v in zip(part["idx"], part[c]) if not np.isnan(v)]
+            for row in part.itertuples():
+                seen = [k for k in knots if k[0] < row.idx][::-1] if forward else [k for k in knots if k[0] > row.idx]
+                for name, want in ((side, seen[:1]), (side + "o", seen[1:2])):
+                    t, y = getattr(row, f"{name}t_{c}"), getattr(row, f"{name}y_{c}")
+                    assert (np.isnan(t) and np.isnan(y)) if not want else (t, y) == want[0]
