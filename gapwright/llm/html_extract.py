@@ -4,10 +4,15 @@ A page is cut into leaf blocks: stretches of text between block-level tags.  Eac
 (tags, class and id words, nearest tag) and of its text (length, links, punctuation, place in the page).  The field has two
 labels, main and other, a weight per feature and label and one per pair of neighbouring labels.
 
-It is trained on labelled pages: a sample of ``SAMPLE`` pages (smallest hash of their id) whose ``article`` or ``main``
+Skipped unread is only what a browser never shows as text: scripts, styles, templates, the head, the contents of form
+controls, and the stand-in text of frames and media.  Such an element without an end tag ends at the next block tag.  A heading
+inside a ``header`` element belongs to that header, also in an article; other headings in the article are main text.
+
+It is trained on labelled pages: a sample of ``SAMPLE`` pages (smallest hash of their id among those with such an element) whose ``article`` or ``main``
 element says which blocks are main text, and ``VARIANTS`` rearrangements of each in other markup (plain divisions with
 usual class names, sidebars, notices, adverts, forms, reader comments made of the page's own sentences), labelled by
-construction.  Training pages give at most ``MAX_BLOCKS`` blocks each; extraction reads whole pages.
+construction.  Training pages give at most ``MAX_BLOCKS`` blocks each; extraction reads whole pages and whole blocks, in time
+about linear in their length.
 
 Null and empty html give the empty text; broken markup is read as far as it goes; repeated rows are treated alike; null ids
 and extra columns are carried.  Without any labelled page a few built-in sentences take the place of page text.
@@ -35,7 +40,8 @@ BLOCK = set("""address article aside blockquote body button caption center dd de
 footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre
 section select summary table tbody td textarea tfoot th thead title tr ul""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template svg math iframe object canvas audio video textarea title head select".split())
+RAW = set("script style template head title select textarea iframe canvas audio video desc annotation".split())
+CODE = {"script", "style", "template"}                        # may hold their own start tag
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
@@ -44,7 +50,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]{2,}")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_END = {}
+_MARK = {t: re.compile(rf"<(/?){t}\b[^>]*>", re.I) for t in RAW}
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK - {'option', 'optgroup'}))})\b", re.I)
 
 
 @dataclass
@@ -69,6 +76,7 @@ def leaves(page: str) -> list[Leaf]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     buffer: list[str] = []
     linked = at = 0
+    endless: set[str] = set()                                 # kinds without an end tag in the rest of the page
 
     def flush() -> None:
         nonlocal linked
@@ -87,6 +95,18 @@ def leaves(page: str) -> list[Leaf]:
             if any(t == "a" for t, _ in stack[-4:]):
                 linked += len(text)
 
+    def behind(tag: str) -> int:
+        """Where reading goes on after a skipped element: behind its end tag; an unclosed one ends at the next block tag."""
+        for mark in () if tag in endless else _MARK[tag].finditer(page, at):
+            if mark[1]:
+                return mark.end()
+            if tag not in CODE:
+                break
+        else:
+            endless.add(tag)
+        block = _BLOCK.search(page, at)
+        return block.start() if block else len(page)
+
     while True:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -107,16 +127,10 @@ def leaves(page: str) -> list[Leaf]:
                     pass
             continue
         if tag in RAW:
-            end = _END.setdefault(tag, re.compile(rf"</{tag}\b[^>]*>", re.I)).search(page, at)
             if tag in BLOCK:
                 flush()
-            if m[3].endswith("/"):
-                continue
-            if tag == "head" and end is None:
-                body = re.compile(r"<body\b", re.I).search(page, at)
-                at = body.start() if body else at
-                continue
-            at = end.end() if end else len(page)
+            if not m[3].endswith("/"):
+                at = behind(tag)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -144,22 +158,19 @@ OTHER_NAMES = set("""ad ads advert advertisement adverts banner breadcrumb bread
 disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted
 recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget
 feedback rating alert""".split())
-OTHER_TAGS = {"nav", "aside", "footer", "form", "header", "menu", "button", "dialog", "fieldset", "option", "label"}
+OTHER_TAGS = {"nav", "aside", "footer", "form", "header", "menu", "button", "dialog", "fieldset", "option", "label", "noscript"}
 OTHER_WORDS = set("""cookie cookies copyright subscribe newsletter login comment comments reply share advert advertisement sponsored menu
 privacy terms rights reserved consent accept search related""".split())
 
 
 def is_main(leaf: Leaf) -> bool | None:
     """What a page's own markup says: in an article or main element and in none of its side parts; None without either."""
-    seen = None
     for tag, names in reversed(leaf.path):
-        if tag in OTHER_TAGS - {"header"} or set(names) & OTHER_NAMES:
+        if tag in OTHER_TAGS or set(names) & OTHER_NAMES:
             return False
-        if tag == "header":
-            seen = False
         if tag in ("article", "main"):
-            return True if seen is None or tag == "article" else seen
-    return False if seen is False else None
+            return True
+    return None
 
 
 def described(blocks: list[Leaf]) -> list[list[str]]:
@@ -187,7 +198,7 @@ def described(blocks: list[Leaf]) -> list[list[str]]:
             f.append("sentence")
         if "©" in b.text:
             f.append("copyright")
-        if {w.strip(".,!?:;").lower() for w in words[:40]} & OTHER_WORDS:
+        if 20 * sum(w.strip(".,!?:;").lower() in OTHER_WORDS for w in words) >= len(words):
             f.append("side word")
         f.append("first" if i == 0 else "last" if i == n - 1 else "inner")
         out.append(f)
@@ -355,7 +366,8 @@ def train(pages: list[tuple[list[list[str]], list[int]]]) -> Field:
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Field:
     """A field trained on a bounded sample of the pages."""
     key = F.xxhash64(id_col)
-    chosen = pages.select(key.alias("seed"), F.col(html_col).alias("__html")).filter(F.col("__html").isNotNull()).orderBy("seed").limit(sample)
+    labelled = F.col(html_col).rlike(r"(?i)<(article|main)\b")
+    chosen = pages.filter(labelled).select(key.alias("seed"), F.col(html_col).alias("__html")).orderBy("seed").limit(sample)
     rows = [(list(map(list, r[0])), list(r[1])) for r in chosen.mapInArrow(_training_rows, "features array<array<string>>, labels array<int>").collect()]
     if not rows:
         rows = [(described(bs), ys) for k in range(40) for bs, ys in variants(list(SENTENCES), k)]

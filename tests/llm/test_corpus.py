@@ -371,6 +371,41 @@ def test_html_main_text(spark):
     assert html_extract.extract(d.limit(0)).count() == 0
 
 
+def test_html_broken_and_unusual_markup():
+    """Nothing behind an unclosed element is lost; formulas and drawings keep their words; nothing unseen is read."""
+    read = lambda page: [b.text for b in html_extract.leaves(page)]
+    for tag in ("svg", "math", "object", "noscript"):
+        assert read(f"<article><p>One.</p><{tag}><p>Two.</p><p>Three.</p>") == ["One.", "Two.", "Three."]
+        assert read(f"<p>One <{tag}>and</{tag}> two.</p>")[-1].endswith("two.") and "and" in " ".join(read(f"<p>One <{tag}>and</{tag}> two.</p>"))
+    for tag in ("select", "textarea", "iframe", "canvas", "audio", "video", "script", "style", "template", "title"):
+        assert read(f"<p>One.</p><{tag}>hidden<p>Two.</p><p>Three.</p>") == ["One.", "Two.", "Three."]
+        assert read(f"<p>One.</p><{tag}>hidden</{tag}><p>Two.</p>") == ["One.", "Two."]
+    for tag in ("textarea", "iframe"):                         # the first has no end tag, the second has one
+        assert read(f"<p>One.</p><{tag}>hidden<p>Two.</p><{tag}>hidden</{tag}><p>Three.</p>") == ["One.", "Two.", "Three."]
+    assert read("<script>if (a<b) put('<script>')</script><p>One.") == ["One."]
+    assert read("<head><title>T<body><p>One.") == ["One."]
+    assert len(read("<p>word <script>" * 20_000)) == 20_000
+
+
+def test_html_learns_from_labelled_pages_first(spark):
+    plain = [(i, f"<div class=post><p>Nothing labelled on page {i}.</p></div>") for i in range(400)]
+    marked = [(1000 + i, f"<nav>Home</nav><article><p>The labelled page {i} says so.</p></article>") for i in range(3)]
+    d = spark.createDataFrame(plain + marked, "page_id bigint, html string")
+    names = html_extract.fit(d, sample=5).weights
+    assert "near=article" in names and html_extract.fit(d, sample=5).weights == names
+
+
+def test_html_odd_rows(spark):
+    """Repeated rows, names that clash with the operator's own, a page of 20,000 paragraphs."""
+    page = PAGE.format(open="<article>", close="</article>")
+    long = "<nav>Home</nav><article>" + "".join(f"<p>Paragraph number {k} of a long page.</p>" for k in range(20_000)) + "</article>"
+    rows = [(i, page, "t", i) for i in range(12)] + [(5, page, "t", 5)] * 3 + [(99, long, None, None)]
+    d = spark.createDataFrame(rows, "page_id bigint, html string, text string, seed int")
+    got = [(r["__row"], r.text) for r in html_extract.extract(d).collect()]
+    assert len(got) == 16 and {t for k, t in got if k.page_id != 99} == {"Head & shoulders\n\nFirst para bold.\n\nSecond one, long enough to be text."}
+    assert next(t for k, t in got if k.page_id == 99).count("\n\n") == 19_999 and next(k for k, _ in got if k.page_id == 5).text == "t"
+
+
 def test_html_field_on_held_out_variants():
     rows = [(html_extract.described(b), y) for k in range(60) for b, y in html_extract.variants(list(html_extract.SENTENCES), k)]
     field = html_extract.train(rows[:140])
