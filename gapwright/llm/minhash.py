@@ -161,19 +161,19 @@ def estimate(left: str, right: str) -> Column:
     return ((1 - differ / F.lit(float(PERMS))) - chance) / (1 - chance)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, settle=cut_lineage) -> DataFrame:
     """(id, comp): smallest id reachable, for every id in the undirected ``edges`` (a, b).
 
     Minimum over neighbours, then a jump to the label of the label; both rows and rounds stay small because links are
-    stars around hubs.  Every round is checkpointed.
+    stars around hubs.  Every round is checkpointed by ``settle``.
     """
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "id"))
+    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settle(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "id"))
     while True:
         near = (both.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c")))
-        step = cut_lineage(labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("comp").alias("old"), F.least("comp", "c").alias("comp")))
+        step = settle(labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("comp").alias("old"), F.least("comp", "c").alias("comp")))
         jump = step.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-        labels = cut_lineage(step.join(jump, "comp").select("id", "old", F.col("to").alias("comp")))
+        labels = settle(step.join(jump, "comp").select("id", "old", F.col("to").alias("comp")))
         if labels.filter(F.col("old") != F.col("comp")).isEmpty():
             return labels.select("id", "comp")
         labels = labels.select("id", "comp")
