@@ -333,3 +333,35 @@ def test_whole_well_cubic_crosses_chunks(spark, chunk):
                 inside = (t > o[0]) & (t < o[-1])
                 want = np.where(inside, _pchip(o.astype(float), x[o], t), want)
             np.testing.assert_allclose(g[c], np.where(np.isnan(x), want, x), rtol=1e-7, atol=1e-9)
+
+
+def test_neighbour_availability_counts_words_of_depths(spark):
+    rng = np.random.default_rng(3)
+    n, size = 6, 256
+    co, _, _, _ = _spatial_case(spark)
+    val = rng.random((n, 700, 3))
+    val[rng.random(val.shape) < 0.4] = np.nan
+    val[2, :, 1] = np.nan
+    rows = [(w, g, *[None if np.isnan(v) else float(v) for v in val[w, g]]) for w in range(n) for g in range(30 * w, 700 - 40 * w)]
+    grid = spark.createDataFrame(rows, "well long, g long, gr double, rhob double, nphi double")
+    offsets = spark.createDataFrame([(w, 30 * w, 0, 0) for w in range(n)], "well long, offset long, length long, d_tot long")
+    wins = [(0, 0), (0, 64), (0, 320), (1, 128), (5, 192)]
+    edges = sp.knn_edges(co.where(f"well < {n}"), 3)
+    weights = sp.adjacency(edges, spark.createDataFrame([(2.0,)], "scale_km double"))
+    df = sp.neighbour_availability(spark.createDataFrame(wins, "well long, start long"), edges, weights, grid, offsets, size)
+    assert "sequence(0, 255" not in df._jdf.queryExecution().toString()     # no row per depth of a window
+    got = {r.well: r for r in df.collect()}
+    w8 = {(r.src, r.dst): r.weight for r in weights.collect()}
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r.src, []).append((r.d_km, r.dst))
+    there = {(r[0], r[1], i): r[2 + i] is not None for r in rows for i in range(3)}
+    for well in {w for w, _ in wins}:
+        per = []
+        for start in (s for w, s in wins if w == well):
+            cell = [[(d, w8[well, v]) for d, v in near[well] if there.get((v, start + t + 30 * well, i))] for t in range(size) for i in range(3)]
+            first = [min(c)[0] for c in cell if c]
+            per.append((sum(map(len, cell)) / 768, np.mean(first) if first else np.nan, sum(b for c in cell for _, b in c) / 768))
+        want = np.array(per)
+        assert got[well].n_avail == pytest.approx(want[:, 0].mean()) and got[well].w_avail == pytest.approx(want[:, 2].mean())
+        assert got[well].d_nearest_km == pytest.approx(np.nanmean(want[:, 1])) and got[well].k_neighbours == 3
