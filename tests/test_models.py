@@ -365,3 +365,37 @@ def test_neighbour_availability_counts_words_of_depths(spark):
         want = np.array(per)
         assert got[well].n_avail == pytest.approx(want[:, 0].mean()) and got[well].w_avail == pytest.approx(want[:, 2].mean())
         assert got[well].d_nearest_km == pytest.approx(np.nanmean(want[:, 1])) and got[well].k_neighbours == 3
+
+
+def test_same_depth_blocks_and_searches_agree_with_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    xy, val = rng.random((700, 2)) * 30, rng.random((700, 4))
+    val[rng.random(val.shape) < 0.5] = np.nan
+    val[3:, 3] = np.nan                                   # measured in a few wells only
+    val[:, 2] = np.nan                                    # nowhere
+    own = np.arange(700)
+    d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    np.fill_diagonal(d, np.inf)
+    num, den = sp._weighted_cells(xy, xy, own, val, rows=64, cols=100)
+    near, dist = sp._nearest_cells(xy, xy, own, val, rows=32, first=8)
+    for c in range(4):
+        has = np.isfinite(val[:, c])
+        w = np.maximum(d[:, has], 1e-3) ** -2.0
+        assert np.allclose(num[:, c], w @ val[has, c]) and np.allclose(den[:, c], w.sum(axis=1))
+        if has.any():
+            j = d[:, has].argmin(axis=1)
+            assert np.array_equal(near[:, c], np.where(np.isfinite(dist[:, c]), val[has, c][j], np.nan), equal_nan=True)
+            assert np.array_equal(dist[:, c], d[:, has].min(axis=1))
+        else:
+            assert np.isinf(dist[:, c]).all()
+    co, _, grid, _ = _spatial_case(spark)
+    tiny = grid.join(co, "well").select(grid["*"])
+    for kind in ("idw", "nnwell"):
+        whole = sorted(map(tuple, sp.same_depth(tiny, tiny, co, kind).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(sp, "SOURCE_BLOCK", 4)
+            m.setattr(sp, "LAYER", 2)
+            cut = sorted(map(tuple, sp.same_depth(tiny, tiny, co, kind).collect()))
+        assert [r[:2] for r in cut] == [r[:2] for r in whole]
+        for a, b in zip(cut, whole):
+            assert all(u == v or u == pytest.approx(v) for u, v in zip(a[2:], b[2:]))
