@@ -399,3 +399,24 @@ def test_same_depth_blocks_and_searches_agree_with_brute_force(spark, monkeypatc
         assert [r[:2] for r in cut] == [r[:2] for r in whole]
         for a, b in zip(cut, whole):
             assert all(u == v or u == pytest.approx(v) for u, v in zip(a[2:], b[2:]))
+
+
+@pytest.mark.parametrize("shape", [(20.0, 1.0), (1.0, 400.0), (1.0, 1.0), (5.0, 0.0)])
+def test_median_distance_of_any_box(spark, shape):
+    rng = np.random.default_rng(11)
+    xy = rng.random((300, 2)) * shape * 1000.0
+    xy[:5] = xy[5]                                        # equal places do not count
+    d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    co = spark.createDataFrame([(w, float(x), float(y)) for w, (x, y) in enumerate(xy)], "well long, x double, y double")
+    assert sp.median_distance(co).first().scale_km == pytest.approx(np.median(d[d > 0]) / 1000.0, rel=1e-12)
+
+
+def test_long_strip_is_cut_into_square_cells(spark, monkeypatch):
+    from gapwright.functions import ranks
+    rng = np.random.default_rng(12)
+    co = spark.createDataFrame([(w, float(a), float(b)) for w, (a, b) in enumerate(rng.random((500, 2)) * (10.0, 100_000.0))],
+                               "well long, x double, y double")
+    seen, plain = [], ranks.rank_table
+    monkeypatch.setattr(ranks, "rank_table", lambda df, *a, **k: seen.append(df.count()) or plain(df, *a, **k))
+    sp.median_distance(co).collect()
+    assert seen[0] < 1000                                 # of 249,500 ordered pairs
