@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 24
+#: points whose neighbours one task looks for
+PROBE_TASK = 4096
 
 
 def _cell(v: str, size: Column) -> Column:
@@ -26,15 +28,28 @@ def knn(points: DataFrame, ident: str, x: str, y: str, k: int, base: float, leve
 
     ``base`` is the edge of the finest cell in the units of x and y.  The coarsest level is
     one cell for everything, so a point with fewer than ``k`` others keeps them all.  Ties
-    break by the neighbour's id.  Points sharing one location are kept as they are.
+    break by the neighbour's id.  Points sharing one location are kept as they are.  Points are
+    filed only up to the level above the first one without a sparse cell: coarser cells hold
+    ever larger shares of all points and are never searched.
     """
     pts = points.select(ident, x, y, *extra)
-    lev = F.explode(F.sequence(F.lit(0), F.lit(levels)))
-    filed = pts.withColumn("lev", lev).withColumn("_s", F.when(F.col("lev") == levels, F.lit(1e300)).otherwise(
-        F.lit(float(base)) * F.pow(F.lit(2.0), F.col("lev"))))
-    filed = filed.withColumn("cx", F.when(F.col("lev") == levels, 0).otherwise(_cell(x, F.col("_s"))).cast("bigint"))
-    filed = filed.withColumn("cy", F.when(F.col("lev") == levels, 0).otherwise(_cell(y, F.col("_s"))).cast("bigint")).drop("_s")
-    counts = filed.groupBy("lev", "cx", "cy").agg(F.count(F.lit(1)).alias("_c"))
+
+    def at_levels(top: int) -> DataFrame:
+        lev = F.explode(F.sequence(F.lit(0), F.lit(top)))
+        df = pts.withColumn("lev", lev).withColumn("_s", F.when(F.col("lev") == levels, F.lit(1e300)).otherwise(
+            F.lit(float(base)) * F.pow(F.lit(2.0), F.col("lev"))))
+        df = df.withColumn("cx", F.when(F.col("lev") == levels, 0).otherwise(_cell(x, F.col("_s"))).cast("bigint"))
+        return df.withColumn("cy", F.when(F.col("lev") == levels, 0).otherwise(_cell(y, F.col("_s"))).cast("bigint")).drop("_s")
+
+    def cell_sizes(df: DataFrame) -> DataFrame:
+        return df.groupBy("lev", "cx", "cy").agg(F.count(F.lit(1)).alias("_c"))
+
+    seen = cell_sizes(at_levels(levels)).agg(F.max(F.when(F.col("_c") <= k, F.col("lev"))).alias("lev"),
+                                             F.sum(F.when(F.col("lev") == 0, F.col("_c"))).alias("n")).first()
+    filed = at_levels(min((-1 if seen["lev"] is None else seen["lev"]) + 2, levels))
+    # a probe meets many points: the tasks follow the number of probes, not the small bytes sent
+    tasks = (seen["n"] or 0) // PROBE_TASK + 1
+    counts = cell_sizes(filed)
     level = (filed.join(counts.where(F.col("_c") >= k + 1), ["lev", "cx", "cy"])
              .groupBy(ident).agg(F.min("lev").alias("_l")))
     chosen = pts.join(level, ident, "left").withColumn(
@@ -49,7 +64,7 @@ def knn(points: DataFrame, ident: str, x: str, y: str, k: int, base: float, leve
         F.when(top, 0).otherwise(_cell(y, size)).cast("bigint").alias("_by"),
         F.inline(F.when(top, alone).otherwise(near)))
     probe = probe.select("src", "_qx", "_qy", "lev", (F.col("_bx") + F.col("dx")).alias("cx"), (F.col("_by") + F.col("dy")).alias("cy"))
-    cand = (probe.join(filed.withColumnRenamed(ident, "dst"), ["lev", "cx", "cy"]).where("src <> dst")
+    cand = (probe.repartition(tasks, "lev", "cx", "cy").join(filed.withColumnRenamed(ident, "dst"), ["lev", "cx", "cy"]).where("src <> dst")
             .withColumn("dist", F.sqrt(F.pow(F.col(x) - F.col("_qx"), 2) + F.pow(F.col(y) - F.col("_qy"), 2))))
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
     return cand.select("src", "dst", "dist", rank.alias("rank"), *extra).where(F.col("rank") <= k)

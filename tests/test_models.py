@@ -420,3 +420,16 @@ def test_long_strip_is_cut_into_square_cells(spark, monkeypatch):
     monkeypatch.setattr(ranks, "rank_table", lambda df, *a, **k: seen.append(df.count()) or plain(df, *a, **k))
     sp.median_distance(co).collect()
     assert seen[0] < 1000                                 # of 249,500 ordered pairs
+
+
+def test_knn_files_no_point_in_cells_it_never_searches(spark):
+    from gapwright.functions.neighbours import knn
+    pts = spark.createDataFrame([(i, float(i % 30), float(i // 30)) for i in range(900)], "p long, x double, y double")
+    df = knn(pts, "p", "x", "y", 3, 1.0)
+    assert "sequence(0, 24" not in df._jdf.queryExecution().toString()
+    got = {r.src: [] for r in df.collect()}
+    for r in df.collect():
+        got[r.src].append((r.dist, r.dst))
+    for s in (0, 31, 899, 450):
+        want = sorted((float(np.hypot(s % 30 - v % 30, s // 30 - v // 30)), v) for v in range(900) if v != s)[:3]
+        assert sorted(got[s]) == want
