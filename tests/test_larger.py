@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gapwright.constants import SCENARIOS
 from gapwright.functions.ordered import with_chunk
 from gapwright.operators import imputers as im
+from gapwright.operators import spatial as sp
 from gapwright.operators.metrics import sufficient_stats
 from gapwright.plans import evaluation as ev
 
@@ -34,3 +35,18 @@ def test_masks_are_worked_off_in_the_partitions_of_the_windows(spark, rows):
     busy = parts.select(F.spark_partition_id().alias("p")).distinct().count()
     assert busy > 1
     assert parts.count() <= 9 * len(SCENARIOS) * 2        # at most one row for each mask of the 9 windows
+
+
+def test_message_pass_tiles_equal_join(spark):
+    feats = spark.range(4000).selectExpr("id % 20 AS well", "id div 20 + (id % 20) % 3 AS g", "CASE WHEN id % 7 = 0 THEN NULL ELSE id * 0.5D END AS gr",
+                                         "CAST(id % 11 AS DOUBLE) AS rhob").where("NOT (well = 4 AND g < 90)")
+    feats = feats.unionByName(feats.where("g = 50 AND well = 3"))
+    graph = spark.range(100).selectExpr("id % 20 AS src", "(id % 20 + (id div 20) * 7) % 23 AS dst", "1 / (1D + id) AS weight")
+    graph = graph.unionByName(graph.where("src = 5"))
+    got = sp.message_pass(feats, graph, ["gr", "rhob"], tile=6, layer=16)
+    want = graph.join(feats.withColumnRenamed("well", "dst"), "dst").groupBy(F.col("src").alias("well"), "g").agg(
+        *[F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("gr", "rhob")])
+    a, b = (x.toPandas().sort_values(["well", "g"]).reset_index(drop=True) for x in (got, want))
+    assert len(a) == len(b) and (a[["well", "g"]] == b[["well", "g"]]).all().all()
+    for c in ("gr", "rhob"):
+        assert a[c].isna().equals(b[c].isna()) and a[c].to_numpy() == pytest.approx(b[c].to_numpy(), nan_ok=True)
