@@ -50,3 +50,9 @@ def test_message_pass_tiles_equal_join(spark):
     assert len(a) == len(b) and (a[["well", "g"]] == b[["well", "g"]]).all().all()
     for c in ("gr", "rhob"):
         assert a[c].isna().equals(b[c].isna()) and a[c].to_numpy() == pytest.approx(b[c].to_numpy(), nan_ok=True)
+
+
+def test_run_sums_of_a_log_that_no_run_masks(rows):
+    specs = ev._specs(rows, ("mean",), ("single",), (0, 1, 2), 256, 64).where("mask_bits = 1")
+    got = im.run_sums(specs, ("mean",), 256).collect()
+    assert got and all(r.n_gr > 0 and r.n_rhob == 0 and r.y_rhob == r.sse_mean_nphi == 0.0 for r in got)
