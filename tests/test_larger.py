@@ -1,14 +1,19 @@
 """Steps that must not grow faster than their tables, on rows of their own."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gapwright.constants import SCENARIOS
 from gapwright.functions.ordered import with_chunk
 from gapwright.operators import imputers as im
+from gapwright.operators import metrics as mt
+from gapwright.operators import scaling as sc
 from gapwright.operators import spatial as sp
 from gapwright.operators.metrics import sufficient_stats
+from gapwright.plans import empirical as em
 from gapwright.plans import evaluation as ev
+from gapwright.plans import leakage as lk
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +61,71 @@ def test_run_sums_of_a_log_that_no_run_masks(rows):
     specs = ev._specs(rows, ("mean",), ("single",), (0, 1, 2), 256, 64).where("mask_bits = 1")
     got = im.run_sums(specs, ("mean",), 256).collect()
     assert got and all(r.n_gr > 0 and r.n_rhob == 0 and r.y_rhob == r.sse_mean_nphi == 0.0 for r in got)
+
+
+def test_metrics_from_moments_equal_those_of_points(rows):
+    methods = ("mean", "locf", "interp_linear", "ridge")
+    want = mt.point_metrics(ev.evaluate(rows, methods), ["method", "scenario"]).toPandas()
+    got = ev.evaluate_metrics(rows, methods).toPandas()
+    both = want.merge(got, on=["method", "scenario", "log"], suffixes=("", "_new"))
+    assert len(want) == len(got) == len(both) and (both.n == both.n_new).all()
+    for k in ("mae", "rmse", "r2", "cc"):
+        assert np.allclose(both[k], both[f"{k}_new"], rtol=1e-9, atol=1e-12, equal_nan=True)
+    keys = ["method", "scenario", "log"]
+    want = mt.fold_mean_r2(ev.evaluate(rows, methods), keys).toPandas().sort_values(keys)
+    got = ev.evaluate_fold_mean(rows, methods).toPandas().sort_values(keys)[want.columns]
+    assert np.allclose(want[want.columns[3:]].astype(float), got[want.columns[3:]].astype(float), rtol=1e-9)
+
+
+def test_moments_of_a_constant_have_no_spread(spark):
+    parts = spark.createDataFrame([("a", n, 0.1, 0.0, 0.3, 0.0, 0.0, n * 0.04, n * 0.2) for n in (3, 7, 11)],
+                                  "k string, n long, my double, vy double, mp double, vp double, vyp double, sse double, sae double")
+    got = mt.metrics_of_moments(parts, ["k"]).first()
+    assert got.n == 21 and got.r2 is None and got.cc is None and got.rmse == pytest.approx(0.2)
+
+
+def test_alignment_counts_as_the_points_do(rows):
+    pts = ev.evaluate(rows, ["mean", "locf"])
+    want = {r.scenario: r.n for r in pts.where("method = 'mean'").groupBy("scenario").agg(F.count("truth").alias("n")).collect()}
+    got = {r.scenario: (r.n, r.bad) for r in ev.alignment(rows, "mean", "locf").collect()}
+    assert got == {s: (n, 0) for s, n in want.items()}
+
+
+@pytest.mark.parametrize("piece", [64, 1024])
+def test_empirical_points_at_any_piece_size(rows, piece, monkeypatch):
+    monkeypatch.setattr(em, "PIECE", piece)
+    methods = ("locf", "locf_win", "interp_linear")
+    got = em.evaluate_empirical(rows, methods, 2).toPandas()
+    masks, size = em.plan_masks(rows, 2).toPandas(), 256
+    wells = {w: g.sort_values("idx") for w, g in rows.select("well", "idx", "gr", "rhob", "nphi").toPandas().groupby("well")}
+    mu = {r.well: r for r in sc.fold_scaler(rows).toPandas().itertuples()}
+    want = {}
+    for m in masks.itertuples():
+        g = wells[m.well]
+        for i, c in enumerate(("gr", "rhob", "nphi")):
+            if not m.mask_cols & (1 << i):
+                continue
+            y, at, mean = g[c].to_numpy(), g.idx.to_numpy(), getattr(mu[m.well], f"mu_{c}")
+            x = np.where((at >= m.mask_from) & (at < m.mask_to), np.nan, y)
+            live = np.flatnonzero(~np.isnan(x))
+            starts = sorted({*range(m.seg_start, m.seg_end - size + 1, size // 2), m.seg_end - size})
+            for t in range(m.mask_from, m.mask_to):
+                k = int(np.flatnonzero(at == t)[0])
+                key = (m.well, m.seg_start, m.rep, t, c.upper())
+                above = live[live < k]
+                want[(*key, "locf")] = x[above[-1]] if len(above) else mean
+                want[(*key, "interp_linear")] = np.interp(t, at[live], x[live]) if len(live) else mean
+                seen = [s for s in starts if s <= t < s + size]
+                want[(*key, "locf_win")] = np.mean([x[above[-1]] if len(above) and at[above[-1]] >= s else mean for s in seen])
+    assert len(got) == len(want) > 0
+    for r in got.itertuples():
+        assert r.pred == pytest.approx(want[(r.well, r.seg_start, r.rep, r.idx, r.log, r.method)], rel=1e-9)
+    stats = em.empirical_stats(rows, methods, 2).toPandas()
+    assert stats.n.sum() == len(got) and stats.sse.sum() == pytest.approx(((got.pred - got.truth) ** 2).sum())
+
+
+def test_leakage_queries_read_the_masked_runs(rows):
+    got = lk.leak_split_metrics(rows).toPandas()
+    assert set(got.log) == {"GR", "RHOB", "NPHI", "all"} and (got.n > 0).all()
+    d = lk.matched_experiment(rows).toPandas()
+    assert d.groupby(["scenario", "log"]).n.nunique().max() == 1 and set(d.config) == {"A_window_overlap", "B_window_no_overlap", "D_well_split"}
