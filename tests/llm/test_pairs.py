@@ -8,7 +8,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gapwright.llm import conversation, ngram_join, spelling
 from tests.llm.test_corpus import SCHEMA, near_rows, odd_rows, shingles, words
@@ -225,6 +227,35 @@ def test_join_matches_brute_force(spark, rows, few, monkeypatch):
     assert ngram_join.join_documents(d.limit(0)).count() == 0
 
 
+def test_short_sets_bound_the_overlap_and_spare_the_full_ones():
+    """op13: pairs are judged by 16 bits a shingle first, which never lose a link and leave hardly any pair below the similarity."""
+    r = np.random.default_rng(5)
+    sets, kept = [], []
+    for k in range(120):
+        a = np.unique(r.integers(0, 2 ** 64, int(r.integers(1, 1500)), dtype=np.uint64))
+        if k % 4 == 0:
+            a = np.unique(a % np.uint64(2 ** 50))                # many equal top bits
+        b = np.unique(np.concatenate([r.permutation(a)[len(a) * int(r.integers(0, 40)) // 100:], r.integers(0, 2 ** 64, len(a) // 20, dtype=np.uint64)]))
+        sets.append((a, b) if len(b) else (a, a))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array([1000 + k for k in range(120)]),
+                                        *[pa.array([ngram_join.short(p[side]).tobytes() for p in sets], pa.binary()) for side in (0, 1)]],
+                                       ["a", "b", "short_a", "short_b"])
+    for out in ngram_join._likely(80)([batch]):
+        kept += out.column("a").to_pylist()
+    linked = [k for k, (a, b) in enumerate(sets) if ngram_join.allowed(ngram_join.shared_count(a, b), len(a), len(b), 80)]
+    assert set(linked) <= set(kept) and 0 < len(linked) < 100
+    assert len([k for k in kept if k % 4]) <= len([k for k in linked if k % 4]) + 3
+
+
+def test_only_wanted_texts_reach_the_join(spark):
+    """op13: the sieve below the join by id lets all wanted rows through and few others."""
+    docs = spark.range(-5000, 5000).select(F.col("id").alias("__id"), F.lit("x").alias("__text"))
+    wanted = docs.where("__id % 50 = 0").select("__id")
+    passed = {r[0] for r in ngram_join._sieved(docs, wanted, "__id").select("__id").collect()}
+    assert {r[0] for r in wanted.collect()} <= passed and len(passed) < 300
+    assert ngram_join._sieved(docs, wanted.limit(0), "__id").count() == 0
+
+
 def test_linked_sets_share_a_token_and_the_tree_loses_none():
     r = np.random.default_rng(3)
     with np.errstate(over="ignore"):
